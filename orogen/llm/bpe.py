@@ -102,16 +102,20 @@ class ChunkedEncoder:
 
 
 class PrefixEncoder(ChunkedEncoder):
-    """Exact encoder for one byte-level vocabulary file; pickles as its path."""
+    """Exact encoder for one byte-level vocabulary file, or for its first ``limit`` ids.
 
-    def __init__(self, path: str):
+    Ids count up in the order of the merges, so the first ones are a vocabulary as well.
+    """
+
+    def __init__(self, path: str, limit: int | None = None):
         import ahocorasick
 
         spec = json.loads(open(path, encoding="utf-8").read())
         to_byte = byte_characters()
         model = spec["model"]
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        raw = {i: bytes(to_byte[c] for c in t) for t, i in model["vocab"].items() if i not in special.values()}
+        limit = limit or 1 << 30
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["id"] < limit}
+        raw = {i: bytes(to_byte[c] for c in t) for t, i in model["vocab"].items() if i < limit and i not in special.values()}
         super().__init__(special, 1 + max([*raw, *special.values()]))
         self.token_bytes = [raw.get(i, b"") for i in range(self.size)]
         for content, i in self.special.items():
@@ -121,7 +125,9 @@ class PrefixEncoder(ChunkedEncoder):
         parts: dict[int, tuple[int, int, int]] = {}
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            x, y = (ids[bytes(to_byte[c] for c in s)] for s in (a, b))
+            x, y = (ids.get(bytes(to_byte[c] for c in s)) for s in (a, b))
+            if x is None or y is None or self.token_bytes[x] + self.token_bytes[y] not in ids:
+                continue
             self.rank.setdefault(x << 20 | y, r)
             parts.setdefault(ids[self.token_bytes[x] + self.token_bytes[y]], (x, y, r))
         self.parts = parts
@@ -218,14 +224,14 @@ class _Chunks(dict):
         return value
 
 
-_loaded: dict[str, PrefixEncoder] = {}
+_loaded: dict[tuple, PrefixEncoder] = {}
 
 
-def encoder(path: str) -> PrefixEncoder:
+def encoder(path: str, limit: int | None = None) -> PrefixEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = PrefixEncoder(path)
-    return _loaded[path]
+    if (path, limit) not in _loaded:
+        _loaded[path, limit] = PrefixEncoder(path, limit)
+    return _loaded[path, limit]
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, chat, exact, langid, lines, packing, simhash, vectors
+from orogen.llm import bpe, chat, exact, langid, licenses, lines, lm, packing, simhash, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows)).drop("loss_tokens", "n_tokens")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
+    return lm.score(_documents(spark, sf_dir).select("doc_id", "text").join(good, "doc_id", "left"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 50"), F.concat("doc_id", F.lit(".txt")))
+    return licenses.scan(_documents(spark, sf_dir), path=path)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.roundtrip(_documents(spark, sf_dir), bpe.vocabulary_path())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -53,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op4_bpe, op5_packing, op6_exact_dedup, op7_line_dedup, op8_near_vectors, op9_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_licenses, op4_bpe, op5_packing, op6_exact_dedup, op7_line_dedup, op8_near_vectors, op9_simhash, op10_language_id)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from orogen.llm.shared import arrow_map
 
 from orogen.llm.bpe import small_batches, vocabulary_path
@@ -173,8 +174,11 @@ def train(df: DataFrame, path: str, id_col: str, text_col: str, lang_col: str, s
     return langs, np.log(counts / counts.sum(axis=0, keepdims=True)) if langs else np.zeros((size, 0))
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row: the likeliest language and its tempered posterior."""
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row: the likeliest language and its tempered posterior.
+
+    With ``carry`` the columns of ``df`` come instead of ``doc_id``, in their order, then ``_lang_pred`` and ``_score``.
+    """
     langs, logp = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +209,15 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_co
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp((total - total[best]) / np.sqrt(len(words))).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
 
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id bigint, lang_pred string, score double")
+    text = F.col(text_col).cast("string").alias("_text")
+    if carry:
+        rows = df.select(F.col(id_col).cast("bigint").alias("_id"), text, *[F.col(f"`{c}`") for c in df.columns])
+        schema = T.StructType([T.StructField("_id", T.LongType()), *df.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+        return arrow_map(rows, run, schema).drop("_id")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return arrow_map(df.select(F.col(id_col).cast("bigint").alias("doc_id"), text), run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -216,8 +225,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, smoothing: float = 0.05) -> DataFrame:
+def identify(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000, smoothing: float = 0.05, carry: bool = False) -> DataFrame:
     """Learn from the rows outside the held-out quarter and predict all: ``doc_id, lang_pred, score``."""
     path = path or vocabulary_path("piece_bpe_32k.model")
     model = train(df.where(~held_out(id_col)), path, id_col, text_col, lang_col, sample_rows, smoothing)
-    return predict(df, model, path, id_col, text_col)
+    return predict(df, model, path, id_col, text_col, carry)
