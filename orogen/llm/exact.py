@@ -51,10 +51,9 @@ def directory(groups: DataFrame, capacity: int) -> DataFrame:
 
 def build_index(rows: DataFrame, capacity: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """The index (one entry per distinct text) and its directory, both on shared files."""
-    groups = rows.groupBy("key", "norm").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first("size").alias("size"), F.first("sha").alias("sha")
-    )
-    groups = materialise(groups.drop("norm"), "exact-groups")
+    groups = rows.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("key", "keep_id", "group_size", F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+    groups = materialise(groups, "exact-groups")
     book = materialise(directory(groups, capacity), "exact-directory")
     owned = groups.withColumn("prefix", F.shiftrightunsigned("key", 64 - DEPTH)).join(F.broadcast(book), "prefix").drop("prefix")
     chain = Window.partitionBy("bucket", "key").orderBy("size", "sha")
