@@ -1,2 +1,424 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of the clustering engine over the shared tables, and the same in SQL.
+
+Most work on points planted in ``lineitem``: two integer coordinates in which the six groups
+of return flag and line status are the clusters. SQL therefore knows each phase's
+answer from the groups, while the engine has to find them.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+from statistics import fmean, pstdev
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orogen.functions import exact, geometry
+from orogen.operators import refine, stats
+from orogen.plans.clustering import Clusterer, Model, block_column, fit
+from orogen.sources import points as src
+
+COLS = ["x0", "x1"]
+X0 = "cast(l_quantity as int) + cast(round(l_discount * 500) as int) + cast(l_orderkey % 50 as int) + case l_returnflag when 'A' then 0 when 'N' then 200 else 600 end"
+X1 = "cast(l_partkey * 7 % 50 + l_orderkey * 3 % 47 + l_linenumber * 11 % 50 as int) + case l_linestatus when 'F' then 0 else 300 end"
+POINTS = f"select l_orderkey, l_linenumber, l_returnflag, l_linestatus, {X0} as x0, {X1} as x1 from lineitem"
+GROUP = "l_returnflag || l_linestatus"
+BIG = "cast(sum({0}) as bigint)"
+SUMS = "count(*) as n, " + ", ".join(f"{BIG.format(f'cast(x{i} as bigint)')} as ls{i}" for i in (0, 1)) + ", " + ", ".join(f"{BIG.format(f'cast(x{i} as bigint) * x{i}')} as ss{i}" for i in (0, 1))
+WHOLE = "(cast(n * ss0 - ls0 * ls0 + n * ss1 - ls1 * ls1 as double) / n)"
+SSQ = "(cast(n * ss{0} - ls{0} * ls{0} as double) / n)"
+BOX = ((150, 10), (700, 350))  # a fixed box for the box queries
+
+_models: dict = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", f"{X0} as x0", f"{X1} as x1")
+
+
+def model_of(spark: SparkSession, sf_dir: str) -> Model:
+    """The fitted model of the planted points; fitted once per session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        _models.clear()
+        _models[key] = fit(planted(spark, sf_dir), COLS)
+    return _models[key]
+
+
+def frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few driver-side results as a DataFrame."""
+    return spark.createDataFrame(rows, schema)
+
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- sources and sinks -------------------------------------------------------------------
+
+
+@query("select l_orderkey, l_linenumber, cast(l_quantity as int) as x0, cast(l_linenumber as int) as x1 from lineitem")
+def parse_points(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("  "), F.col("l_quantity").cast("int").cast("string"), F.lit(",\t "), F.col("l_linenumber").cast("string")).alias("value"))
+    t = src.tokens(F.col("value"))
+    return lines.select("l_orderkey", "l_linenumber", *[src.to_int(t[i].cast("int")).alias(f"x{i}") for i in (0, 1)])
+
+
+@query("select c_custkey, cast(trunc(0.5::double + 0.25::double * cast(trunc(c_acctbal) as int)) as int) as x0 from customer")
+def scale_points(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", src.to_int(F.col("c_acctbal").cast("int"), 0.25).alias("x0"))
+
+
+LABELLED = f"""
+p as (select row_number() over () as rid, * from ({POINTS})),
+g as (select {GROUP} as grp, {SUMS} from p group by 1),
+m as (select grp, n, ls0, ls1, ss0, ss1, ls0 / cast(n as double) as c0, ls1 / cast(n as double) as c1, 3.0::double * sqrt({SSQ.format(0)} / n) as r0, 3.0::double * sqrt({SSQ.format(1)} / n) as r1 from g),
+a as (select p.*, m.grp, ((c0 - x0) / r0) * ((c0 - x0) / r0) + ((c1 - x1) / r1) * ((c1 - x1) / r1) as d from p, m),
+near as (select * from (select *, row_number() over (partition by rid order by d, grp) as k from a) where k = 1 and d <= 1)"""
+REFINED = f"""{LABELLED},
+s as (select grp, {SUMS} from near group by grp),
+f as (select row_number() over (order by ls0 / cast(n as double), ls1 / cast(n as double)) - 1 as label, n, ls0, ls1, ss0, ss1, ls0 / cast(n as double) as c0, ls1 / cast(n as double) as c1,
+  sqrt({SSQ.format(0)} / n) as d0, sqrt({SSQ.format(1)} / n) as d1, sqrt({WHOLE} / n) as radius, {WHOLE} as ssq from s)"""
+FINAL = f"""{REFINED},
+q as (select p.rid, p.l_orderkey, p.l_linenumber, p.x0, p.x1, f.label, ((c0 - x0) / (3.0::double * d0)) * ((c0 - x0) / (3.0::double * d0)) + ((c1 - x1) / (3.0::double * d1)) * ((c1 - x1) / (3.0::double * d1)) as d from p, f),
+final as (select l_orderkey, l_linenumber, x0, x1, cast(coalesce(min_by(label, d + label * 1e-12) filter (d <= 1), -1) as int) as label from q group by rid, l_orderkey, l_linenumber, x0, x1)"""
+
+
+@query(f"with {FINAL} select l_orderkey, l_linenumber, x0 || ' ' || x1 || ' ' || label as line from final")
+def label_lines(spark, sf_dir):
+    rows = model_of(spark, sf_dir).transform(planted(spark, sf_dir))
+    return rows.select("l_orderkey", "l_linenumber", F.concat_ws(" ", "x0", "x1", "label").alias("line"))
+
+
+# --- projections and predicates ----------------------------------------------------------
+
+
+@query(f"with p as ({POINTS}) select l_orderkey, l_linenumber, x0, x1 from p where x0 <= 349")
+def split_left(spark, sf_dir):
+    return planted(spark, sf_dir).where(F.col("x0") <= 349).select("l_orderkey", "l_linenumber", *COLS)
+
+
+@query(f"with p as ({POINTS}) select l_orderkey, l_linenumber, x0, x1 from p where x0 > 349")
+def split_right(spark, sf_dir):
+    return planted(spark, sf_dir).where(F.col("x0") > 349).select("l_orderkey", "l_linenumber", *COLS)
+
+
+@query(f"""with p as ({POINTS}), g as (select {GROUP} as grp, {SUMS} from p group by 1), k as (select grp, row_number() over (order by ls0 / cast(n as double), ls1 / cast(n as double)) - 1 as block from g)
+select l_orderkey, l_linenumber, x0, x1, cast(block as int) as block from p join k on {GROUP} = k.grp""")
+def block_assignment(spark, sf_dir):
+    model, rows = model_of(spark, sf_dir), planted(spark, sf_dir)
+    order = sorted(model.leaves, key=lambda b: b.summary.centroid)
+    block = block_column(model.blocks, COLS)
+    rank = F.coalesce(*[F.when(block == b.id, i) for i, b in enumerate(order)])
+    return rows.select("l_orderkey", "l_linenumber", *COLS, rank.cast("int").alias("block"))
+
+
+@query(f"with p as ({POINTS}) select l_orderkey, l_linenumber, x0, x1 from p where x0 between {BOX[0][0]} and {BOX[1][0]} and x1 between {BOX[0][1]} and {BOX[1][1]}")
+def box_filter(spark, sf_dir):
+    return planted(spark, sf_dir).where(geometry.inside(COLS, *BOX)).select("l_orderkey", "l_linenumber", *COLS)
+
+
+@query(f"with p as ({POINTS}) select count(*) as n from p where x0 between {BOX[0][0]} and {BOX[1][0]} and x1 between {BOX[0][1]} and {BOX[1][1]}")
+def range_count(spark, sf_dir):
+    return stats.count_inside(planted(spark, sf_dir), COLS, *BOX)
+
+
+BOXES = f"with p as ({POINTS}), b as (select {GROUP} as grp, min(x0) as inf0, max(x0) as sup0, min(x1) as inf1, max(x1) as sup1, {SUMS} from p group by 1)"
+
+
+def boxes(spark, sf_dir):
+    rows = planted(spark, sf_dir).withColumn("grp", F.expr(GROUP))
+    return rows.groupBy("grp").agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(COLS) for f, k in ((F.min, "inf"), (F.max, "sup"))], *stats.sums(COLS))
+
+
+@query(BOXES + f" select grp, {BOX[0][0]} <= inf0 and sup0 <= {BOX[1][0]} and {BOX[0][1]} <= inf1 and sup1 <= {BOX[1][1]} as held from b")
+def box_contains_box(spark, sf_dir):
+    (a0, a1), (b0, b1) = BOX
+    return boxes(spark, sf_dir).select("grp", ((F.col("inf0") >= a0) & (F.col("sup0") <= b0) & (F.col("inf1") >= a1) & (F.col("sup1") <= b1)).alias("held"))
+
+
+_W = "greatest(1, cast(trunc((sup{0} - inf{0} + 1) * 0.1::double + 0.5::double) as int))"
+_RS = "least(sup{0}, cast(trunc(ls{0} / cast(n as double) + " + _W + ") as int))"
+_RI = "greatest(inf{0}, cast(trunc(ls{0} / cast(n as double) - " + _W + ") as int))"
+RESTRICTED = BOXES + ", r as (select *, " + ", ".join(f"{_RI.format(i)} as a{i}, {_RS.format(i)} as b{i}" for i in (0, 1)) + ", n / (cast(sup0 - inf0 + 1 as double) * cast(sup1 - inf1 + 1 as double)) as density from b)"
+
+
+def restricted(spark, sf_dir):
+    w = lambda i: F.greatest(F.lit(1), ((F.col(f"sup{i}") - F.col(f"inf{i}") + 1) * F.lit(0.1) + F.lit(0.5)).cast("int"))
+    c = lambda i: F.col(f"ls{i}") / F.col("n")
+    rows = boxes(spark, sf_dir)
+    for i in (0, 1):
+        rows = rows.withColumns({f"a{i}": F.greatest(F.col(f"inf{i}"), (c(i) - w(i)).cast("int")), f"b{i}": F.least(F.col(f"sup{i}"), (c(i) + w(i)).cast("int"))})
+    return rows.withColumn("density", F.col("n") / geometry.box_volume([F.col("inf0"), F.col("inf1")], [F.col("sup0"), F.col("sup1")]))
+
+
+@query(RESTRICTED + " select grp, a0, b0, a1, b1 from r")
+def restricted_boxes(spark, sf_dir):
+    return restricted(spark, sf_dir).select("grp", "a0", "b0", "a1", "b1")
+
+
+# --- assignments -------------------------------------------------------------------------
+
+
+@query(f"with {LABELLED} select l_orderkey, l_linenumber, x0, x1, grp from near")
+def intermediate_assignment(spark, sf_dir):
+    model, rows = model_of(spark, sf_dir), planted(spark, sf_dir)
+    names = rows.withColumn("_b", block_column(model.blocks, COLS)).groupBy("_b").agg(F.min(F.expr(GROUP)).alias("grp"))
+    found = Clusterer(COLS, model.options).assign(rows, model.blocks, model.leaves, "_a")
+    # inline keeps the null filter above the distances, which would be generated twice below it
+    found = found.select("*", F.inline(F.array(F.struct(F.col("_a").alias("_b"))))).where("_b is not null")
+    return found.join(F.broadcast(names), "_b").select("l_orderkey", "l_linenumber", *COLS, "grp")
+
+
+@query(f"with {FINAL} select l_orderkey, l_linenumber, x0, x1, label from final")
+def final_labels(spark, sf_dir):
+    return model_of(spark, sf_dir).transform(planted(spark, sf_dir)).select("l_orderkey", "l_linenumber", *COLS, "label")
+
+
+REACH = BOXES + f""", m as (select grp, ls0 / cast(n as double) as c0, ls1 / cast(n as double) as c1, 3.0::double * sqrt({SSQ.format(0)} / n) as r0, 3.0::double * sqrt({SSQ.format(1)} / n) as r1 from b)
+select b.grp as block, m.grp as cluster from b, m where b.grp = m.grp or
+  ((c0 - least(greatest(c0, inf0), sup0)) / r0) * ((c0 - least(greatest(c0, inf0), sup0)) / r0) + ((c1 - least(greatest(c1, inf1), sup1)) / r1) * ((c1 - least(greatest(c1, inf1), sup1)) / r1) <= 1"""
+
+
+@query(REACH)
+def reachability(spark, sf_dir):
+    blocks, names = [], {}
+    for i, r in enumerate(boxes(spark, sf_dir).collect()):
+        names[i] = r["grp"]
+        blocks.append(refine.Block(i, refine.Summary(r["n"], (r["ls0"], r["ls1"]), (r["ss0"], r["ss1"])), (r["inf0"], r["inf1"]), (r["sup0"], r["sup1"])))
+    reach = refine.reachability(blocks)
+    return frame(spark, [(names[i], names[j]) for i, s in reach.items() for j in s], "block string, cluster string")
+
+
+# --- aggregations ------------------------------------------------------------------------
+
+
+@query(f"with p as ({POINTS}) select min(x0) as inf0, max(x0) as sup0, min(x1) as inf1, max(x1) as sup1 from p")
+def domain(spark, sf_dir):
+    return stats.domain(planted(spark, sf_dir), COLS)
+
+
+@query(f"with p as ({POINTS}), s as (select {SUMS} from p) select n, ls0, ls1, ss0, ss1, {SSQ.format(0)} as ssq0, {SSQ.format(1)} as ssq1, {SSQ.format(0)} + {SSQ.format(1)} as ssq from s")
+def root_summary(spark, sf_dir):
+    return stats.summaries(planted(spark, sf_dir), COLS).select("n", "ls0", "ls1", "ss0", "ss1", *stats.ssq_columns(2))
+
+
+_M = ", ".join(f"{BIG.format(f'cast(x{i} as bigint)')} as s{i}" for i in (0, 1)) + ", " + ", ".join(f"{BIG.format(f'cast(x{i} as bigint) * x{i}')} as q{i}" for i in (0, 1))
+STATUS = "cast(case l_linestatus when 'F' then 0 else 1 end as int)"
+MARGINALS = f"""p as ({POINTS}), m as (
+  select {STATUS} as block, 0 as dim, x0 as pos, count(*) as cnt, {_M} from p group by 1, 2, 3
+  union all select {STATUS}, 1, x1, count(*), {_M} from p group by 1, 2, 3)"""
+
+
+def two_blocks(spark, sf_dir):
+    rows = planted(spark, sf_dir).withColumn("block", F.when(F.col("l_linestatus") == "F", 0).otherwise(1))
+    return stats.marginals(rows, COLS, "block")
+
+
+@query(f"with {MARGINALS} select * from m")
+def marginals(spark, sf_dir):
+    return two_blocks(spark, sf_dir)
+
+
+@query(f"with {MARGINALS} select 0 as block, dim, pos, cast(sum(cnt) as bigint) as cnt, cast(sum(s0) as bigint) as s0, cast(sum(s1) as bigint) as s1, cast(sum(q0) as bigint) as q0, cast(sum(q1) as bigint) as q1 from m group by dim, pos")
+def marginal_merge(spark, sf_dir):
+    m = two_blocks(spark, sf_dir).withColumn("part", F.col("block")).withColumn("block", F.lit(0))
+    return stats.marginal_combine(m.where("part = 0").drop("part"), m.where("part = 1").drop("part"))
+
+
+@query(f"with {REFINED} select label, n, c0, c1, d0, d1, radius, ssq from f")
+def cluster_profile(spark, sf_dir):
+    rows = [(i, s.n, *s.centroid, *s.radii, s.radius, s.ssq) for i, s in enumerate(model_of(spark, sf_dir).refined)]
+    return frame(spark, rows, "label bigint, n bigint, c0 double, c1 double, d0 double, d1 double, radius double, ssq double")
+
+
+@query(f"with {REFINED} select label, n, ls0, ls1, ss0, ss1 from f")
+def intermediate_summary(spark, sf_dir):
+    rows = [(i, s.n, *s.ls, *s.ss) for i, s in enumerate(model_of(spark, sf_dir).refined)]
+    return frame(spark, rows, "label bigint, n bigint, ls0 bigint, ls1 bigint, ss0 bigint, ss1 bigint")
+
+
+@query(RESTRICTED + " select grp, n, density from r")
+def block_density(spark, sf_dir):
+    return restricted(spark, sf_dir).select("grp", "n", "density")
+
+
+@query(RESTRICTED + """, o as (select density, lead(density) over (order by density) / density as v, row_number() over (order by density) as k from r),
+t as (select coalesce(avg(v) + stddev_pop(v), 0) as lim from o)
+select round(lim, 6) as lim, (select density from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold from t""")
+def density_threshold(spark, sf_dir):
+    d = sorted(r["density"] for r in restricted(spark, sf_dir).select("density").collect())
+    v = [b / a for a, b in zip(d, d[1:])]
+    return frame(spark, [(round(fmean(v) + pstdev(v), 6) if v else 0.0, d[refine.jump_index(d)])], "lim double, threshold double")
+
+
+@query("""with c as (select p_size, count(*) as n from part group by 1), o as (select n, lead(n) over (order by n, p_size) / cast(n as double) as v, row_number() over (order by n, p_size) as k from c),
+t as (select avg(v) + stddev_pop(v) as lim from o)
+select (select n from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold""")
+def noise_threshold(spark, sf_dir):
+    counts = sorted(r["n"] for r in table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).collect())
+    return frame(spark, [(counts[refine.jump_index(counts)],)], "threshold bigint")
+
+
+@query(RESTRICTED + f""", h as (select r.grp, count(*) as held from r join p on {GROUP.replace("l_", "p.l_")} = r.grp and x0 between a0 and b0 and x1 between a1 and b1 group by 1)
+select r.grp, coalesce(held, 0) as held, coalesce(held, 0) >= 10 and coalesce(held, 0) / (cast(b0 - a0 + 1 as double) * cast(b1 - a1 + 1 as double)) >= 2 * density as high from r left join h on r.grp = h.grp""")
+def restricted_density(spark, sf_dir):
+    rows = planted(spark, sf_dir).withColumn("grp", F.expr(GROUP)).join(F.broadcast(restricted(spark, sf_dir)), "grp")
+    inside = F.col("x0").between(F.col("a0"), F.col("b0")) & F.col("x1").between(F.col("a1"), F.col("b1"))
+    got = rows.groupBy("grp", "a0", "b0", "a1", "b1", "density").agg(F.sum(F.when(inside, 1).otherwise(0)).cast("bigint").alias("held"))
+    dense = F.col("held") / geometry.box_volume([F.col("a0"), F.col("a1")], [F.col("b0"), F.col("b1")])
+    return got.select("grp", "held", ((F.col("held") >= 10) & (dense >= 2 * F.col("density"))).alias("high"))
+
+
+@query(f"""with {REFINED}, w as (select cast(sum(n) as bigint) as n, count(*) as k, cast(sum(ls0) as bigint) as ls0, cast(sum(ls1) as bigint) as ls1, cast(sum(ss0) as bigint) as ss0, cast(sum(ss1) as bigint) as ss1, sum(ssq) as within from f)
+select n, k, round(within, 3) as within, round((cast(n::hugeint * (ss0 + ss1) - ls0::hugeint * ls0 - ls1::hugeint * ls1 as double) / n) - within, 3) as between_, round((((cast(n::hugeint * (ss0 + ss1) - ls0::hugeint * ls0 - ls1::hugeint * ls1 as double) / n) - within) * (n - k)) / (within * (k - 1)), 3) as ch from w""")
+def ch_index(spark, sf_dir):
+    got = model_of(spark, sf_dir).refined
+    whole = got[0]
+    for s in got[1:]:
+        whole = whole.plus(s)
+    within = sum(s.ssq for s in got)
+    between = whole.ssq - within
+    ch = exact.calinski_harabasz(between, within, whole.n, len(got))
+    return frame(spark, [(whole.n, len(got), round(within, 3), round(between, 3), round(ch, 3))], "n bigint, k bigint, within double, between_ double, ch double")
+
+
+# --- windows -----------------------------------------------------------------------------
+
+_UP = "over (partition by block, dim order by pos rows between unbounded preceding and current row)"
+_ALL = "over (partition by block, dim)"
+CUMULATIVE = f"""{MARGINALS}, c as (select block, dim, pos, cast(sum(cnt) {_UP} as bigint) as n1, cast(sum(s0) {_UP} as bigint) as l0, cast(sum(s1) {_UP} as bigint) as l1, cast(sum(q0) {_UP} as bigint) as r0, cast(sum(q1) {_UP} as bigint) as r1,
+  cast(sum(cnt) {_ALL} as bigint) as n, cast(sum(s0) {_ALL} as bigint) as t0, cast(sum(s1) {_ALL} as bigint) as t1, cast(sum(q0) {_ALL} as bigint) as u0, cast(sum(q1) {_ALL} as bigint) as u1 from m)"""
+_D = "(l{0} / cast(n1 as double) - (t{0} - l{0}) / cast(n - n1 as double))"
+CANDIDATES = f"{CUMULATIVE}, d as (select block, dim, pos, n1, n, cast(n1 as double) * cast(n - n1 as double) / n * ({_D.format(0)} * {_D.format(0)} + {_D.format(1)} * {_D.format(1)}) as delta from c where n > n1)"
+
+
+@query(f"with {CUMULATIVE} select * from c")
+def cumulative_marginals(spark, sf_dir):
+    return stats.cumulative(two_blocks(spark, sf_dir), 2)
+
+
+@query(f"with {CANDIDATES} select * from d")
+def split_candidates(spark, sf_dir):
+    return stats.split_candidates(stats.cumulative(two_blocks(spark, sf_dir), 2), 2).select("block", "dim", "pos", "n1", "n", "delta")
+
+
+@query(f"with {CANDIDATES.replace(STATUS, '0')} select dim, pos, n1, delta from d order by delta desc, dim desc, pos limit 1")
+def best_split(spark, sf_dir):
+    m = stats.marginals(planted(spark, sf_dir), COLS)
+    return stats.best_splits(stats.split_candidates(stats.cumulative(m, 2), 2), 2).select("dim", "pos", "n1", "delta")
+
+
+AVERAGE = f"""{MARGINALS}, e as (select block, dim, min(pos) as lo, max(pos) as hi from m group by 1, 2), g as (select block, dim, lo, hi, unnest(generate_series(lo, hi)) as pos from e),
+v as (select g.block, g.dim, g.pos, hi - lo + 1 as w, (hi - lo + 1) // 20 as s, pos - lo as j, coalesce(m.cnt, 0) as cnt from g left join m using (block, dim, pos)),
+a as (select a.block, a.dim, a.pos, a.cnt, cast(sum(b.cnt) as double) / count(*) as avg from v a join v b on a.block = b.block and a.dim = b.dim and b.j between greatest(0, a.j - a.s) and least(a.w - 1, a.j + a.s - 1) group by 1, 2, 3, 4)"""
+
+
+def averages(spark, sf_dir):
+    dense = stats.dense_counts(two_blocks(spark, sf_dir), F.min("pos"), F.max("pos"))
+    return stats.mobile_average(dense, F.floor(F.col("w") / 20).cast("int"))
+
+
+@query(f"with {AVERAGE} select block, dim, cast(pos as int) as pos, cnt, avg from a")
+def mobile_average(spark, sf_dir):
+    return averages(spark, sf_dir)
+
+
+@query(f"""with {AVERAGE}, x as (select *, lag(avg) over (partition by block, dim order by pos) as before, lead(avg) over (partition by block, dim order by pos) as after from a)
+select block, dim, cast(pos as int) as pos, avg, avg > before and avg > after as is_max from x where (avg > before and avg > after) or (avg < before and avg < after)""")
+def local_extrema(spark, sf_dir):
+    return stats.local_extrema(averages(spark, sf_dir))
+
+
+@query()
+def valley_flag(spark, sf_dir):
+    """Whether each leaf's and the root's histogram has a valley, by the detector's rules."""
+    model, rows = model_of(spark, sf_dir), planted(spark, sf_dir)
+    work, out = Clusterer(COLS, model.options), []
+    root = refine.Block(0, model.blocks[0].summary, model.blocks[0].inf, model.blocks[0].sup)
+    for tree in ({0: root}, model.blocks):
+        leaves = [b.id for b in tree.values() if b.children is None]
+        work.histograms(rows, tree, leaves)
+        out += [(i, tree[i].summary.n, work.valley(tree, i)) for i in leaves]
+    return frame(spark, out, "block int, n bigint, valley boolean")
+
+
+# --- divisive, agglomerative, whole runs -------------------------------------------------
+
+
+@query()
+def divisive_trace(spark, sf_dir):
+    rows = [(i, t["block"], t["dim"], t["pos"], t["n1"], t["delta"], t["index"], t["accepted"], t["by"]) for i, t in enumerate(model_of(spark, sf_dir).trace)]
+    return frame(spark, rows, "step int, block int, dim int, pos int, n1 bigint, delta double, ch double, accepted boolean, by string")
+
+
+@query(f"with p as ({POINTS}), g as (select {SUMS} from p group by {GROUP}) select n, ls0, ls1, ss0, ss1 from g")
+def divisive_blocks(spark, sf_dir):
+    rows = [(b.summary.n, *b.summary.ls, *b.summary.ss) for b in model_of(spark, sf_dir).leaves]
+    return frame(spark, rows, "n bigint, ls0 bigint, ls1 bigint, ss0 bigint, ss1 bigint")
+
+
+PAIRS = f"""with {REFINED}, j as (select a.label as a, b.label as b, a.n as n1, b.n as n2, a.radius + b.radius as reach, a.c0 - b.c0 as e0, a.c1 - b.c1 as e1, a.n + b.n as n, a.ls0 + b.ls0 as ls0, a.ls1 + b.ls1 as ls1, a.ss0 + b.ss0 as ss0, a.ss1 + b.ss1 as ss1 from f a join f b on a.label < b.label)
+select a, b, round(cast(n1 * n2 as double) / n * (e0 * e0 + e1 * e1), 3) as cost, sqrt({SSQ.format(0)} / n) <= 2 * reach and sqrt({SSQ.format(1)} / n) <= 2 * reach as admissible from j"""
+
+
+@query(PAIRS)
+def merge_pairs(spark, sf_dir):
+    rows = [(a.id, b.id, round(refine.merge_cost(a, b), 3), refine.admissible(a, b)) for a, b in combinations(model_of(spark, sf_dir).refined, 2)]
+    return frame(spark, rows, "a bigint, b bigint, cost double, admissible boolean")
+
+
+@query()
+def merge_sequence(spark, sf_dir):
+    rows = [(s["step"], s["left"], s["right"], s["made"].id, s["made"].n, s["cost"], s["index"], s["clusters"], s["kept"]) for s in model_of(spark, sf_dir).merges]
+    return frame(spark, rows, "step int, left int, right int, made int, n bigint, cost double, ch double, clusters int, kept boolean")
+
+
+@query()
+def run_metrics(spark, sf_dir):
+    model = model_of(spark, sf_dir)
+    rows = list({**model.metrics, "blocks_without_outliers": model.number_of_blocks}.items())
+    return frame(spark, [(k, float(v)) for k, v in rows], "metric string, value double")
+
+
+@query(f"with {FINAL} select label, count(*) as n, min(x0) as inf0, max(x0) as sup0, min(x1) as inf1, max(x1) as sup1 from final group by label")
+def cluster_lineitem(spark, sf_dir):
+    rows = model_of(spark, sf_dir).transform(planted(spark, sf_dir))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("inf0"), F.max("x0").alias("sup0"), F.min("x1").alias("inf1"), F.max("x1").alias("sup1"))
+
+
+# --- functions ---------------------------------------------------------------------------
+
+
+@query(f"with p as ({POINTS}) select l_orderkey, l_linenumber, ((250.0::double - x0) / 300.0::double) * ((250.0::double - x0) / 300.0::double) + ((120.0::double - x1) / 150.0::double) * ((120.0::double - x1) / 150.0::double) as d from p")
+def elliptical_distance(spark, sf_dir):
+    return planted(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.elliptical(COLS, [250.0, 120.0], [300.0, 150.0]).alias("d"))
+
+
+@query(f"with p as ({POINTS}) select l_orderkey, l_linenumber, sqrt((x0 - 250.0::double) * (x0 - 250.0::double) + (x1 - 120.0::double) * (x1 - 120.0::double)) as d from p")
+def euclidean_distance(spark, sf_dir):
+    return planted(spark, sf_dir).select("l_orderkey", "l_linenumber", geometry.euclidean([F.col(c) for c in COLS], [F.lit(250.0), F.lit(120.0)]).alias("d"))
+
+
+@query(BOXES + " select grp, cast(sup0 - inf0 + 1 as double) * cast(sup1 - inf1 + 1 as double) as volume from b")
+def box_volume(spark, sf_dir):
+    return boxes(spark, sf_dir).select("grp", geometry.box_volume([F.col("inf0"), F.col("inf1")], [F.col("sup0"), F.col("sup1")]).alias("volume"))
+
+
+@query(f"with p as ({POINTS}) select l_orderkey, l_linenumber, 7 + cast(x0 as bigint) * x0 as y0, 11 + cast(x1 as bigint) * x1 as y1 from p")
+def vector_add_square(spark, sf_dir):
+    got = geometry.array_add_square(F.array(F.lit(7).cast("bigint"), F.lit(11).cast("bigint")), F.array(F.col("x0").cast("bigint"), F.col("x1").cast("bigint")))
+    return planted(spark, sf_dir).select("l_orderkey", "l_linenumber", got.alias("y")).select("l_orderkey", "l_linenumber", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
