@@ -97,6 +97,20 @@ class Matcher:
             for w in v:
                 self.by_word[w].append(at)
         self.sizes = sorted(set(self.lengths))
+        self.shares = {w: [(at, self.vectors[at][1][w] ** 2) for at in found] for w, found in self.by_word.items()}
+
+    def may_reach(self, line: str, threshold: float) -> bool:
+        """Whether any stretch of a line can reach the threshold.
+
+        By Cauchy-Schwarz a cosine is at most the length of the template's part over the words they share,
+        and a word that a line holds is a substring of it.
+        """
+        mass = [0.0] * len(TEMPLATES)
+        for w, parts in self.shares.items():
+            if w in line:
+                for at, share in parts:
+                    mass[at] += share
+        return max(mass) >= (threshold - 1e-9) ** 2
 
     def cosine(self, words: list[str]) -> tuple[float, str | None]:
         weights = {w: (1 + math.log(c)) * self.idf.get(w, self.unseen) for w, c in Counter(words).items()}
@@ -114,7 +128,7 @@ class Matcher:
         for line in (text or "").split("\n"):
             low = line.lower()
             total += len(low.split())
-            if len(VOCABULARY.intersection(low.translate(EDGES).replace(". ", " ").rstrip(".").split())) < 2:
+            if not self.may_reach(low, threshold):
                 continue
             words = words_of(low)
             tries = [words]
