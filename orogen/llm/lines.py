@@ -44,7 +44,8 @@ def occurrences(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     rid, mark = _row(id_col, text_col)
     rows = df.select(rid.alias("rid"), mark.alias("mark"), F.posexplode(F.split(_text(text_col), "\n")).alias("pos", "line"))
     rows = rows.select("rid", "mark", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key")).where(F.length("key") >= min_chars)
-    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "rid", "mark", "pos")
+    # the constant comes first: it changes the seed, while after the key it would hash h1 alone and h2 would tell nothing new
+    return rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "rid", "mark", "pos")
 
 
 def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, hot_keys: int = 512) -> DataFrame:

@@ -110,6 +110,15 @@ def test_line_dedup(spark, odd, none, hot):
     assert lines.apply_bitmaps(none, lines.line_bitmaps(none)).count() == 0
 
 
+def test_line_hashes_are_independent(spark):
+    """The second hash is taken of the key itself, not of the first hash."""
+    df = spark.createDataFrame([(i, "line number %d" % i) for i in range(20)], "doc_id bigint, text string")
+    seed = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    got = {(r["h1"] % (1 << 64), r["h2"] % (1 << 64)) for r in lines.occurrences(df, "doc_id", "text", 10).collect()}
+    keys = ["line number %d" % i for i in range(20)]
+    assert got == {(xxhash.xxh64_intdigest(k, 42), xxhash.xxh64_intdigest(k, seed)) for k in keys}
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     if not words:
