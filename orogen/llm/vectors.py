@@ -80,6 +80,11 @@ def buckets(unit: np.ndarray, k: int, tables: int, probes: int, seed: int) -> np
     return out
 
 
+def code_type(length: int, k: int) -> str:
+    """Narrowest integers that hold the bucket numbers of vectors of ``length``."""
+    return "<i4" if (2 << max(1, (length - 1).bit_length())) ** k < 1 << 31 else "<i8"
+
+
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows of equal length as doubles, and which of them have finite components and a length."""
     x = np.array(column.to_pylist(), dtype=np.float64)
@@ -98,8 +103,8 @@ def counted_here(own: np.ndarray, other: np.ndarray, table: int, bucket: int) ->
     return (first == table) & (home == bucket)
 
 
-def compare(cells: DataFrame, tables: int, probes: int, threshold: float, block: int = 512) -> DataFrame:
-    """Counts and forest edges of each cell; ``cells`` is sorted by cell."""
+def compare(cells: DataFrame, k: int, tables: int, probes: int, threshold: float, kind: str, block: int = 512) -> DataFrame:
+    """Counts and forest edges of each cell; ``cells`` is sorted by cell, ``kind`` the input's own precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
@@ -109,8 +114,8 @@ def compare(cells: DataFrame, tables: int, probes: int, threshold: float, block:
             t, b, s, u = key[1], key[2], key[3], key[4]
             home = rows["home"].to_numpy(zero_copy_only=False)
             rid, n, part = rows["rid"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy()
-            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), "<i8").reshape(len(rid), tables, 1 + probes)
-            x = np.frombuffer(b"".join(rows["vec"].to_pylist()), "<f8").reshape(len(rid), -1)
+            codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), code_type(key[0], k)).reshape(len(rid), tables, 1 + probes)
+            x = np.frombuffer(b"".join(rows["vec"].to_pylist()), kind).reshape(len(rid), -1).astype(np.float64)
             unit = x / np.linalg.norm(x, axis=1)[:, None]
             add, a, e = np.zeros(len(rid), np.int64), [], []
             left = np.flatnonzero(part == s)
@@ -169,7 +174,10 @@ def compare(cells: DataFrame, tables: int, probes: int, threshold: float, block:
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, slice_rows: int = 4096, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    # single-precision input travels as it is: it widens to the same doubles where it is compared
+    single = df.select(vector_col).dtypes[0][1] == "array<float>"
+    kind, vec_type = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(vec_type).alias("vec"))
     sound = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     classes = rows.where(F.coalesce(sound, F.lit(False))).groupBy("vec").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "vectors-classes")
@@ -186,7 +194,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     batch = mine.slice(low, 512)
                     x, ok = matrix(batch.column(2))
                     codes = buckets(x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None], k, tables, probes, seed)
-                    packed, vecs = [c.astype("<i8").tobytes() for c in codes], [v.astype("<f8").tobytes() for v in x]
+                    packed, vecs = [c.tobytes() for c in codes.astype(code_type(int(d), k))], [v.tobytes() for v in x.astype(kind)]
                     for t in range(tables):
                         m = len(x) * (1 + probes)
                         take = np.repeat(np.arange(len(x)), 1 + probes)
@@ -203,15 +211,15 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     cells = cells.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
     cells = cells.select("width", "t", "b", F.least("part", "meets").alias("s"), F.greatest("part", "meets").alias("u"), "home", "rid", "n", "part", "codes", "vec")
     cells = cells.repartition("width", "t", "b", "s", "u").sortWithinPartitions("width", "t", "b", "s", "u")
-    found = materialise(compare(cells, tables, probes, threshold), "vectors-found")
+    found = materialise(compare(cells, k, tables, probes, threshold, kind), "vectors-found")
     counts = found.groupBy("rid").agg(F.sum("add").alias("more"))
     roots = components(found.where("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")), "vectors-components")
-    label = classes.select("rid", "n", F.xxhash64("vec").alias("h"), "vec").join(counts, "rid", "left").join(roots.select(F.col("v").alias("rid"), F.col("root")), "rid", "left")
+    label = classes.select("rid", "n", "vec").join(counts, "rid", "left").join(roots.select(F.col("v").alias("rid"), F.col("root")), "rid", "left")
     label = materialise(label.select("vec", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rid").alias("component_id")), "vectors-labels")
-    single = F.col("vec_id").isNull()
+    alone = F.col("vec_id").isNull()
     out = rows.join(label, "vec", "left").select(
         "vec_id",
-        F.when(single, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"),
-        F.when(single, F.col("vec_id")).otherwise(F.coalesce("component_id", "vec_id")).alias("component_id"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"),
+        F.when(alone, F.col("vec_id")).otherwise(F.coalesce("component_id", "vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -167,15 +167,16 @@ def test_simhash_documents(spark, odd, none):
     assert got == expected and simhash.near_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("slice_rows", [4096, 8])
-def test_vectors_equal_brute_force(spark, slice_rows):
+@pytest.mark.parametrize("slice_rows, kind", [(4096, "double"), (8, "double"), (4096, "float")])
+def test_vectors_equal_brute_force(spark, slice_rows, kind):
     r = np.random.default_rng(3)
     base = r.normal(size=(60, 48))
     rows = [x + r.normal(size=48) * s * 0.1 for x in base for s in (0, 0.5, 1, 1.6, 2.4)] + [base[0]] * 40 + [base[1] * 3]
+    rows = [x.astype(np.float32).astype(float) for x in rows] if kind == "float" else rows
     data = [(i, [float(v) for v in x]) for i, x in enumerate(rows)]
     odd_ones = [None, [], [0.0] * 48, [float("nan")] * 48, [None] * 48, [float("inf")] + [1.0] * 47, [1.0, 2.0]]
     data += [(len(data) + i, x) for i, x in enumerate(odd_ones)] + [(None, data[0][1])]
-    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumn("label", F.lit(1)).withColumn("vec", F.lit(1)).withColumn("n", F.lit(2))
+    df = spark.createDataFrame(data, f"vec_id bigint, embedding array<{kind}>").withColumn("label", F.lit(1)).withColumn("vec", F.lit(1)).withColumn("n", F.lit(2))
     got = {x["vec_id"]: x for x in vectors.near_vectors(df, slice_rows=slice_rows).collect()}
     assert len(got) == len(data)
     unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
@@ -213,6 +214,10 @@ def test_pipeline_equals_brute_force(spark, odd):
     assert sorted(r["doc_id"] for r in got) == stay and all(r["n"] == r["m"] for r in got)
 
 
+def test_code_type_holds_every_bucket():
+    assert vectors.code_type(64, 3) == "<i4" and vectors.code_type(4096, 3) == "<i8" and vectors.code_type(1, 1) == "<i4"
+
+
 def test_package_does_not_need_this_one():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, files in os.walk(f"{here}/orogen"):
