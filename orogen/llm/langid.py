@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from orogen.llm.shared import arrow_map
 
 from orogen.llm.bpe import small_batches, vocabulary_path
+from orogen.llm.shared import arrow_map, fresh, quoted
 
 WORDS_KEPT = 400_000
 QUANTUM = 1 << 16
@@ -177,7 +177,8 @@ def train(df: DataFrame, path: str, id_col: str, text_col: str, lang_col: str, s
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row: the likeliest language and its tempered posterior.
 
-    With ``carry`` the columns of ``df`` come instead of ``doc_id``, in their order, then ``_lang_pred`` and ``_score``.
+    With ``carry`` the columns of ``df`` come instead of ``doc_id``, in their order, then ``_lang_pred`` and ``_score``
+    (columns of ``df`` with these two names are replaced).
     """
     langs, logp = model
 
@@ -185,8 +186,8 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_co
         pieces = pieces_of(path)
         if _words.get("model") is None or not np.array_equal(_words["model"], logp):
             _words.update(model=logp, at={}, table=np.zeros((1024, len(langs))))
-        for batch in small_batches(batches, 1):
-            texts = batch.column(1).to_pylist()
+        for batch in small_batches(batches, last):
+            texts = batch.column(last).to_pylist()
             split = [words_of(t) if t and langs and LETTER.search(t) else [] for t in texts]
             at = _words["at"]
             if len(at) > WORDS_KEPT:
@@ -209,15 +210,17 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_co
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp((total - total[best]) / np.sqrt(len(words))).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
 
-    text = F.col(text_col).cast("string").alias("_text")
+    fields, columns, results = [T.StructField("doc_id", T.LongType())], [F.col(id_col).cast("bigint").alias("doc_id")], ("lang_pred", "score")
     if carry:
-        rows = df.select(F.col(id_col).cast("bigint").alias("_id"), text, *[F.col(f"`{c}`") for c in df.columns])
-        schema = T.StructType([T.StructField("_id", T.LongType()), *df.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-        return arrow_map(rows, run, schema).drop("_id")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return arrow_map(df.select(F.col(id_col).cast("bigint").alias("doc_id"), text), run, schema)
+        results = ("_lang_pred", "_score")
+        fields = [f for f in df.schema.fields if f.name.lower() not in results]
+        columns = quoted([f.name for f in fields])
+    last = len(fields)
+    rows = df.select(*columns, F.col(text_col).cast("string").alias(fresh(df, "_text")[0]))
+    schema = T.StructType([*fields, T.StructField(results[0], T.StringType()), T.StructField(results[1], T.DoubleType())])
+    return arrow_map(rows, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orogen.llm.shared import ascii_lower, materialise
+from orogen.llm.shared import ascii_lower, fresh, materialise
 
 LAST = (1 << 63) - 1
 SPACE = " \t\n\x0b\x0c\r"
@@ -65,14 +65,14 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` plus ``_n_lines``, ``_n_dropped`` and ``_kept_text``."""
-    rid, mark = _row(id_col, text_col)
-    marks = bitmaps.select(F.col("rid").alias("_rid"), F.col("mark").alias("_mark"), F.col("keep").alias("_keep"))
-    rows = df.withColumns({"_rid": rid, "_mark": mark}).join(marks, ["_rid", "_mark"], "left")
-    lines = F.split(_text(text_col), "\n")
-    word = "coalesce(try_element_at(_keep, shiftright(i, 6)), -1L)"
-    kept = F.expr(f"filter(_lines, (line, i) -> ({word} & shiftleft(1L, i % 64)) <> 0)")
-    rows = rows.withColumn("_lines", lines).withColumn("_stay", F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(kept))
-    rows = rows.withColumns({"_n_lines": F.size("_lines").cast("bigint"), "_n_dropped": (F.size("_lines") - F.size("_stay")).cast("bigint")})
-    text = F.when(F.col("_keep").isNull(), _text(text_col)).otherwise(F.array_join("_stay", "\n"))
-    return rows.withColumn("_kept_text", text).drop("_rid", "_mark", "_keep", "_lines", "_stay")
+    """All columns of ``df`` plus ``_n_lines``, ``_n_dropped`` and ``_kept_text`` (columns with these three names are replaced)."""
+    row = _row(id_col, text_col)
+    rid, mark, keep, lines, stay = own = fresh(df, "_rid", "_mark", "_keep", "_lines", "_stay")
+    marks = bitmaps.select(F.col("rid").alias(rid), F.col("mark").alias(mark), F.col("keep").alias(keep))
+    rows = df.withColumns({rid: row[0], mark: row[1]}).join(marks, [rid, mark], "left").withColumn(lines, F.split(_text(text_col), "\n"))
+    word = f"coalesce(try_element_at({keep}, shiftright(i, 6)), -1L)"
+    kept = F.expr(f"filter({lines}, (line, i) -> ({word} & shiftleft(1L, i % 64)) <> 0)")
+    rows = rows.withColumn(stay, F.when(F.col(keep).isNull(), F.col(lines)).otherwise(kept))
+    rows = rows.withColumns({"_n_lines": F.size(lines).cast("bigint"), "_n_dropped": (F.size(lines) - F.size(stay)).cast("bigint")})
+    text = F.when(F.col(keep).isNull(), _text(text_col)).otherwise(F.array_join(stay, "\n"))
+    return rows.withColumn("_kept_text", text).drop(*own)

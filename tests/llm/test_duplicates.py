@@ -218,6 +218,22 @@ def test_code_type_holds_every_bucket():
     assert vectors.code_type(64, 3) == "<i4" and vectors.code_type(4096, 3) == "<i8" and vectors.code_type(1, 1) == "<i4"
 
 
+def test_stages_keep_columns_of_any_name(spark, odd):
+    names = ["_rid", "_mark", "_keep", "_lines", "_stay", "_n_lines", "_n_dropped", "_kept_text", "_lang_pred", "_score", "_text", "_id", "component_id", "h1", "a.b", "other0"]
+    docs = odd.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"), *[F.concat(F.lit(f"{n}-"), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names])
+    rest = [f"`{n}`" for n in names]
+    want = {r["doc_id"]: tuple(r)[1:] for r in docs.select("doc_id", *rest).collect()}
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.line_dedup, corpus_pipeline.simhash_dedup):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        found = got.select("doc_id", *rest).collect()
+        assert found and all(tuple(r)[1:] == want[r["doc_id"]] for r in found)
+    plain = [n for n in names if n not in ("_n_lines", "_n_dropped", "_kept_text", "_lang_pred", "_score")]
+    own = lines.apply_bitmaps(docs, lines.line_bitmaps(docs))
+    assert set(plain) <= set(own.columns) and own.count() == docs.count()
+    assert set(plain) <= set(langid.identify(docs, carry=True).columns)
+
+
 def test_package_does_not_need_this_one():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, files in os.walk(f"{here}/orogen"):
