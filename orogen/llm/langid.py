@@ -210,7 +210,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_co
                 best = int(total.argmax())
                 names.append(langs[best])
                 scores.append(float(1 / np.exp((total - total[best]) / np.sqrt(len(words))).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=plain)
 
     fields, columns, results = [T.StructField("doc_id", T.LongType())], [F.col(id_col).cast("bigint").alias("doc_id")], ("lang_pred", "score")
     if carry:
@@ -218,9 +218,12 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_co
         fields = [f for f in df.schema.fields if f.name.lower() not in results]
         columns = quoted([f.name for f in fields])
     last = len(fields)
-    rows = df.select(*columns, F.col(text_col).cast("string").alias(fresh(df, "_text")[0]))
-    schema = T.StructType([*fields, T.StructField(results[0], T.StringType()), T.StructField(results[1], T.DoubleType())])
-    return arrow_map(rows, run, schema)
+    # mapInArrow can't pass every name (one with a dot): there, columns go by their places
+    plain = [f"c{i}" for i in range(last + 2)]
+    rows = df.select(*columns, F.col(text_col).cast("string").alias(fresh(df, "_text")[0])).toDF(*plain[: last + 1])
+    kinds = [*[f.dataType for f in fields], T.StringType(), T.DoubleType()]
+    done = arrow_map(rows, run, T.StructType([T.StructField(n, t) for n, t in zip(plain, kinds)]))
+    return done.toDF(*[f.name for f in fields], *results)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
