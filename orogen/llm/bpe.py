@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.shared import arrow_map
+from orogen.llm.shared import arrow_map, worker_table
 
 # Fixed value: the public split pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -224,7 +224,7 @@ class _Chunks(dict):
         return value
 
 
-_loaded: dict[tuple, PrefixEncoder] = {}
+_loaded: dict[tuple, PrefixEncoder] = worker_table("bpe", "lm", "chat")
 
 
 def encoder(path: str, limit: int | None = None) -> PrefixEncoder:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orogen.llm.bpe import small_batches, vocabulary_path
-from orogen.llm.shared import arrow_map, fresh, quoted
+from orogen.llm.shared import arrow_map, fresh, quoted, worker_table
 
 WORDS_KEPT = 400_000
 QUANTUM = 1 << 16
@@ -125,7 +125,7 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[str, Pieces] = worker_table("langid")
 _words: dict = {}
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from orogen.llm.shared import arrow_map
+from orogen.llm.shared import arrow_map, worker_table
 
 from orogen.llm.bpe import PATTERN, ChunkedEncoder, small_batches, vocabulary_path
 
@@ -55,7 +55,7 @@ class RankEncoder(ChunkedEncoder):
     simple_piece = whole_text
 
 
-_loaded: dict[str, RankEncoder] = {}
+_loaded: dict[str, RankEncoder] = worker_table("packing")
 
 
 def rank_encoder(path: str) -> RankEncoder:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -46,10 +47,39 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the executors."""
+#: Bytes of an Arrow batch on its way to a Python worker, where the session sets nothing else.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_tables: list[tuple[dict, tuple[str, ...]]] = []
+
+
+def worker_table(*users: str) -> dict:
+    """A dictionary kept by a Python worker until it gets a task of a module that isn't among ``users``."""
+    table: dict = {}
+    _tables.append((table, users))
+    return table
+
+
+def release(user: str) -> None:
+    """Empty the tables that tasks of other modules left in this worker."""
+    for table, users in _tables:
+        if user not in users:
+            table.clear()
+
+
+def arrow_map(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with this package on the executors; a worker holds the tables of one operator at a time."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    if df.sparkSession.conf.get(BATCH_SETTING, None) in (None, str(64 << 20)):
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    user = function.__module__.rpartition(".")[2]
+
+    def run(batches: Iterator) -> Iterator:
+        release(user)
+        return function(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
