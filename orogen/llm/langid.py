@@ -4,7 +4,7 @@ The vocabulary is fixed and public: the pieces of a subword model. Each language
 a probability for every piece. A word's probability in a language is the sum over all ways to
 cut it into pieces of the product of their probabilities, which a forward pass over
 the word's positions yields; a text's is the product over its words (pieces do not reach over
-white space), so each distinct word is summed once per worker. The forward pass handles many
+white space), so each distinct word is summed once per task. The forward pass handles many
 words at a time: matches of all words, from one Aho-Corasick scan, are combined position by
 position. Characters that are no piece count as one unknown piece.
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -66,15 +68,17 @@ class Pieces:
         characters having n + 1.
         """
         joined = "\n".join("▁" + w for w in words)
-        found = [(end - size + 1, end + 1, piece) for end, (piece, size) in self.auto.iter(joined)]
-        at = 0
+        found = list(self.auto.iter(joined))
+        last = np.fromiter(map(itemgetter(0), found), np.int64, len(found))
+        piece, size = np.fromiter(chain.from_iterable(map(itemgetter(1), found)), np.int64, 2 * len(found)).reshape(-1, 2).T
+        lone, at = [], 0
         for run in self.known.finditer(joined):
-            found += [(i, i + 1, self.size - 1) for i in range(at, run.start())]
+            lone.extend(range(at, run.start()))
             at = run.end()
-        found += [(i, i + 1, self.size - 1) for i in range(at, len(joined))]
+        lone = np.array([*lone, *range(at, len(joined))], np.int64)
         first = np.cumsum([0] + [len(w) + 2 for w in words])[:-1]
-        m = np.array(found, np.int64).reshape(-1, 3)
-        return m[:, 0], m[:, 1], m[:, 2], first
+        start, end = np.concatenate((last + 1 - size, lone)), np.concatenate((last, lone)) + 1
+        return start, end, np.concatenate((piece, np.full(len(lone), self.size - 1))), first
 
 
 def sweep(source: np.ndarray, target: np.ndarray, step: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
