@@ -22,7 +22,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("target", F.lit(True))
     # labels grow with the documents, so they are never broadcast: the same plan at every size
-    return lm.score(_documents(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"))
+    return lm.score(_documents(spark, sf_dir).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"), order=3)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

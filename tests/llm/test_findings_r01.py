@@ -1,12 +1,14 @@
 """Cases of the review: each failed before its finding was settled."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orogen.llm import shingles, simhash
+from orogen.llm import bpe, lm, shingles, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,3 +48,33 @@ def test_stage_drops_near_copies_over_four_bits(spark):
     a, b = next((a, b) for a, b in zip(texts[::2], texts[1::2]) if jaccard(a, b) >= 0.8 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 4)
     docs = spark.createDataFrame([(1, a), (2, b), (3, "a text of its own that stays")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_lm_counts_trigrams_over_the_whole_vocabulary(spark, odd, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 100)
+    df = odd.withColumn("target", F.col("doc_id").isin(1, 6))
+    rows, enc, mu = df.select("doc_id", "text", "target").collect(), bpe.encoder(bpe.vocabulary_path()), 20.0
+    v = enc.size
+    assert v > 40_000
+    ids = [[v, v, *enc.encode(r["text"]).tolist()] for r in rows]
+
+    def model(target):
+        n = Counter()
+        for r, x in zip(rows, ids):
+            if r["target"] or not target:
+                for a, b, c in zip(x, x[1:], x[2:]):
+                    n.update([(a, b, c), (b, c), (c,), ("before", a, b), ("before", b), "all"])
+
+        def loss(a, b, c):
+            one = (n[c,] + 1) / (n["all"] + v)
+            two = (n[b, c] + mu * one) / (n["before", b] + mu)
+            return -np.log((n[a, b, c] + mu * two) / (n["before", a, b] + mu))
+
+        return loss
+
+    models = model(True), model(False)
+    want = sorted(((r["doc_id"], len(x) - 2, *(np.mean([m(*t) for t in zip(x, x[1:], x[2:])]) if len(x) > 2 else None for m in models)) for r, x in zip(rows, ids)), key=repr)
+    got = sorted((tuple(r) for r in lm.score(df, mu=mu, order=3).select("doc_id", "n_tokens", "loss_target", "loss_background").collect()), key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and (g[2:] == w[2:] if w[2] is None else np.allclose(g[2:], w[2:], rtol=1e-4))
