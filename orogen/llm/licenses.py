@@ -1,12 +1,13 @@
 """Licence scans: TF-IDF cosine of text to licence templates, then inheritance down the directories.
 
-Every line of every text, and in long lines every stretch as long as a template that holds
-some of its words, is a sparse vector over the words of the templates (inverse document
-frequencies are counted over all texts; a word of no template weighs as one that no text
-holds) and is compared with each template by cosine. A file's own licence is the best match at or
-over ``threshold``; ties go to the first identifier in order. A file is a licence file if its name says
-so or if matched words are at least ``file_share`` of its words; the best licence file of a directory (highest
-cosine, then lowest path) gives that directory its licence.
+Templates are short notices and whole licence texts. A text is one sequence of words whatever its line
+breaks; every line, the whole text, and every stretch as long as a template is a sparse vector over the words of
+the templates (inverse document frequencies are counted over all texts; a word of no template weighs as one that no
+text holds) and is compared with that template by cosine. A stretch is passed over only where its words cannot
+reach the threshold. A file's own licence is the best match at or over ``threshold``; ties go to the first identifier in order;
+a notice inside a matched stretch of a template at least twice as long (a licence text that quotes it) does not count for that.
+A file is a licence file if its name says so or if the words of all matched stretches together are at least ``file_share`` of its
+words; the best licence file of a directory (highest cosine, then lowest path) gives that directory its licence.
 
 A file without a licence of its own inherits from its nearest ancestor directory that has one. Only distinct
 directories are replicated to their ancestors, and each directory's answer is found once by
@@ -28,10 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm.bpe import small_batches
+from orogen.llm.license_texts import TEXTS
 from orogen.llm.shared import arrow_map, materialise
 
 # Short notices as files carry them, by SPDX identifier.
-TEMPLATES = (
+NOTICES = (
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -41,14 +47,25 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("MIT", "MIT License"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+TEMPLATES = NOTICES + TEXTS
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}.\-]*")
 
@@ -82,69 +99,100 @@ EDGES = {ord(c): " " for c in ",;:!?()[]{}<>\"'/\\*#=|"} | {ord("."): "."}
 
 
 class Matcher:
-    """Cosines of one text's lines to the templates."""
+    """Cosines of a text's stretches to the templates."""
 
     def __init__(self, n: int, frequency: dict[str, int]):
         self.idf = {w: math.log((1 + n) / (1 + frequency.get(w, 0))) + 1 for w in VOCABULARY}
         self.unseen = math.log(1 + n) + 1
         self.vectors, self.lengths = [], []
-        self.by_word = defaultdict(list)
+        self.shares = defaultdict(list)
         for at, (name, text) in enumerate(TEMPLATES):
-            v = {w: (1 + math.log(c)) * self.idf[w] for w, c in Counter(words_of(text)).items()}
+            words = words_of(text)
+            v = {w: (1 + math.log(c)) * self.idf[w] for w, c in Counter(words).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append((name, {w: x / norm for w, x in v.items()}))
-            self.lengths.append(len(words_of(text)))
-            for w in v:
-                self.by_word[w].append(at)
-        self.sizes = sorted(set(self.lengths))
-        self.shares = {w: [(at, self.vectors[at][1][w] ** 2) for at in found] for w, found in self.by_word.items()}
-
-    def may_reach(self, line: str, threshold: float) -> bool:
-        """Whether any stretch of a line can reach the threshold.
-
-        By Cauchy-Schwarz a cosine is at most the length of the template's part over the words they share,
-        and a word that a line holds is a substring of it.
-        """
-        mass = [0.0] * len(TEMPLATES)
-        for w, parts in self.shares.items():
-            if w in line:
-                for at, share in parts:
-                    mass[at] += share
-        return max(mass) >= (threshold - 1e-9) ** 2
-
-    def cosine(self, words: list[str]) -> tuple[float, str | None]:
+            self.lengths.append(len(words))
+            for w, x in self.vectors[-1][1].items():
+                self.shares[w].append((at, x * x))
+
+    def reachable(self, words: set[str], threshold: float) -> list[int]:
+        """Templates that a stretch of these words can reach: by Cauchy-Schwarz a cosine is at most the length of the template's part over shared words."""
+        mass: dict[int, float] = defaultdict(float)
+        for w in words & VOCABULARY:
+            for at, share in self.shares[w]:
+                mass[at] += share
+        return [at for at, m in mass.items() if m >= (threshold - 1e-9) ** 2]
+
+    def needed(self, at: int, threshold: float) -> set[str]:
+        """Words of which a stretch must hold one to reach the threshold."""
+        rest, out = 1.0, set()
+        for w, x in sorted(self.vectors[at][1].items(), key=lambda p: (-p[1], p[0])):
+            if rest < (threshold - 1e-9) ** 2:
+                break
+            out.add(w)
+            rest -= x * x
+        return out
+
+    def cosine(self, words: list[str], at: int) -> float:
         weights = {w: (1 + math.log(c)) * self.idf.get(w, self.unseen) for w, c in Counter(words).items()}
-        norm = math.sqrt(sum(x * x for x in weights.values()))
-        dots: dict[int, float] = defaultdict(float)
-        for w, x in weights.items():
-            for at in self.by_word.get(w, ()):
-                dots[at] += x * self.vectors[at][1][w]
-        best = min(((-round(d / norm, 9), self.vectors[at][0]) for at, d in dots.items()), default=(0.0, None))
-        return -best[0], best[1]
+        vector = self.vectors[at][1]
+        return round(sum(x * vector.get(w, 0.0) for w, x in weights.items()) / math.sqrt(sum(x * x for x in weights.values())), 9)
+
+    def stretches(self, words: list[str], at: int, threshold: float) -> list[tuple[float, int, int]]:
+        """Cosine, start and end of all stretches of the template's length that reach the threshold."""
+        size, vector, needed = self.lengths[at], self.vectors[at][1], self.needed(at, threshold)
+        ranges: list[list[int]] = []  # of starts
+        for i, w in enumerate(words):
+            if w in needed:
+                low, high = max(0, i - size + 1), min(i, len(words) - size)
+                if ranges and low <= ranges[-1][1] + 1:
+                    ranges[-1][1] = max(high, ranges[-1][1])
+                elif low <= high:
+                    ranges.append([low, high])
+        out, logs = [], [0.0, *(1 + math.log(c) for c in range(1, size + 2))]
+        for low, high in ranges:
+            count, dot, norm = Counter(words[low : low + size]), 0.0, 0.0
+            for w, c in count.items():
+                x = logs[c] * self.idf.get(w, self.unseen)
+                dot, norm = dot + x * vector.get(w, 0.0), norm + x * x
+            for i in range(low, high + 1):
+                if i > low:
+                    for w, step in ((words[i - 1], -1), (words[i + size - 1], 1)):
+                        c, f = count[w], self.idf.get(w, self.unseen)
+                        dot += (logs[c + step] - logs[c]) * f * vector.get(w, 0.0)
+                        norm += (logs[c + step] ** 2 - logs[c] ** 2) * f * f
+                        count[w] = c + step
+                if dot >= (threshold - 1e-6) * math.sqrt(norm):  # running sums: decided anew without rounding
+                    cos = self.cosine(words[i : i + size], at)
+                    if cos >= threshold:
+                        out.append((cos, i, i + size))
+        return out
 
     def text(self, text: str | None, threshold: float) -> tuple[str | None, float, int, int]:
         """Licence, cosine, matched words and all words of a text."""
-        best, name, matched, total = 0.0, None, 0, 0
+        words = words_of(text or "")
+        reach = self.reachable(set(words), threshold)
+        if not reach:
+            return None, 0.0, 0, len(words)
+        lines, start = {(0, len(words))}, 0
         for line in (text or "").split("\n"):
-            low = line.lower()
-            total += len(low.split())
-            if not self.may_reach(low, threshold):
-                continue
-            words = words_of(low)
-            tries = [words]
-            hits = [i for i, w in enumerate(words) if w in VOCABULARY]
-            for size in self.sizes:
-                if len(words) > size:
-                    for x, i in enumerate(hits):  # stretches that begin with a word of a template
-                        if sum(j < i + size for j in hits[x : x + size]) * 2 >= size:
-                            tries.append(words[i : i + size])
-            for part in tries:
-                cos, who = self.cosine(part)
-                if who is not None and cos >= threshold:
-                    matched = max(matched, len(part))
-                    if (-cos, who) < (-best, name or "~"):
-                        best, name = cos, who
-        return name, best, matched, total
+            end = start + len(words_of(line))
+            if end > start:
+                lines.add((start, end))
+            start = end
+        within = {part: set(self.reachable(set(words[part[0] : part[1]]), threshold)) for part in lines}
+        covered, matches = bytearray(len(words)), []
+        for at in sorted(reach):
+            found = [(self.cosine(words[a:b], at), a, b) for (a, b), can in within.items() if at in can]
+            found = [x for x in found if x[0] >= threshold] + self.stretches(words, at, threshold)
+            used = bytearray(len(words))
+            for cos, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+                if not any(used[a:b]):  # of stretches that overlap, the best one counts
+                    used[a:b] = covered[a:b] = b"\1" * (b - a)
+                    matches.append((-cos, self.vectors[at][0], a, b, self.lengths[at]))
+        whole = [m for m in matches if not any(x[4] >= 2 * m[4] and x[2] <= m[2] and m[3] <= x[3] for x in matches)]
+        best, name = min((m[:2] for m in whole), default=(0.0, None))
+        return name, -best, sum(covered), len(words)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None, threshold: float = 0.8, file_share: float = 0.25) -> DataFrame:

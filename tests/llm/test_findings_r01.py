@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orogen.llm import bpe, lm, shingles, simhash
+from orogen.llm import bpe, licenses, lm, shingles, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,3 +78,31 @@ def test_lm_counts_trigrams_over_the_whole_vocabulary(spark, odd, monkeypatch):
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:2] == w[:2] and (g[2:] == w[2:] if w[2] is None else np.allclose(g[2:], w[2:], rtol=1e-4))
+
+
+def test_licenses_over_line_breaks_and_whole_texts(spark):
+    whole = dict(licenses.TEXTS)
+    header = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n"
+    cases = [
+        ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"),
+        ("BSD-3-Clause", "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."),
+        ("GPL-3.0", "GNU General Public License,\nversion 3."),
+        ("GPL-3.0", header),
+        ("AGPL-3.0", header.replace("GNU General", "GNU Affero General")),
+        ("MIT", "MIT License"),
+        *whole.items(),
+    ]
+    filler = "words of no licence stand here " * 3
+    rows = [(i, f"d{i}/a.txt", t) for i, (_, t) in enumerate(cases)] + [(100 + i, f"d{100 + i}/b.txt", f"{filler}\n{t}\n{filler}") for i, (_, t) in enumerate(cases)]
+    rows += [(1000 + i, f"e/{i}.txt", "nothing of note " * 9) for i in range(60)] + [(2000, "d6/x.txt", "no notice")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    for i, (want, _) in enumerate(cases):
+        assert got[i]["own_license"] == want, (i, want, got[i])
+        assert got[100 + i]["own_license"] == want, (i, want, got[100 + i])
+    assert all(got[1000 + i]["own_license"] is None for i in range(60)) and got[2000]["license"] == cases[6][0]
+
+
+def test_all_matched_stretches_count():
+    one = "Licensed under the Apache License, Version 2.0"
+    _, _, matched, total = licenses.Matcher(10, {}).text(f"{one}\nfirst filler words\n{one}\nmore filler words\n{one}", 0.8)
+    assert matched == 21 and total == 27
