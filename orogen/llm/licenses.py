@@ -86,8 +86,7 @@ def document_frequencies(rows: DataFrame) -> tuple[int, dict[str, int]]:
             for text in batch.column(0).to_pylist():
                 n += 1
                 if text:
-                    near = VOCABULARY.intersection(text.lower().translate(EDGES).split())
-                    seen.update({w for x in near for w in words_of(x)} & VOCABULARY)
+                    seen.update(VOCABULARY.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
 
     sums = arrow_map(rows.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -95,9 +94,6 @@ def document_frequencies(rows: DataFrame) -> tuple[int, dict[str, int]]:
     return found.pop(None, 0), found
 
 
-EDGES = {ord(c): " " for c in ",;:!?()[]{}<>\"'/\\*#=|"} | {ord("."): "."}
-
-
 class Matcher:
     """Cosines of a text's stretches to the templates."""
 

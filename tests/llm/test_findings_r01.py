@@ -106,3 +106,10 @@ def test_all_matched_stretches_count():
     one = "Licensed under the Apache License, Version 2.0"
     _, _, matched, total = licenses.Matcher(10, {}).text(f"{one}\nfirst filler words\n{one}\nmore filler words\n{one}", 0.8)
     assert matched == 21 and total == 27
+
+
+def test_document_frequencies_are_those_of_all_texts(spark):
+    texts = ["Version 4.0.", "see 4.0; a license.", "“license” and the.", None, "the the", "...license... 4.0.-"]
+    n, got = licenses.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = Counter(w for t in texts for w in set(licenses.words_of(t or "")) & licenses.VOCABULARY)
+    assert n == 6 and got == want and got["4.0"] == 3 and got["license"] == 3
