@@ -113,3 +113,12 @@ def test_document_frequencies_are_those_of_all_texts(spark):
     n, got = licenses.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
     want = Counter(w for t in texts for w in set(licenses.words_of(t or "")) & licenses.VOCABULARY)
     assert n == 6 and got == want and got["4.0"] == 3 and got["license"] == 3
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    near = a.replace("a99", "other")
+    rows = [(1, a), (5, near), (5, b), (7, "twice the same text"), (7, "twice the same text"), (None, a), (None, near), (None, "no id"), (None, "no id"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (7, "twice the same text"), (None, "no id"), (9, "")], key=repr)
