@@ -51,16 +51,25 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def read_vocabulary(path: str) -> tuple[dict[str, int], dict[int, bytes], list[tuple[bytes, bytes]]]:
+    """Special tokens, the bytes of all other ids, and the merges of a byte-level vocabulary file."""
+    spec = json.loads(open(path, encoding="utf-8").read())
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    to_byte, others = byte_characters(), set(special.values())
+    raw = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in others}
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+    return special, raw, [tuple(bytes(to_byte[c] for c in s) for s in pair) for pair in pairs]
+
+
 class ChunkedEncoder:
     """Cuts texts at borders that every split has and keeps the ids of distinct chunks."""
 
     def __init__(self, special: dict[str, int], size: int):
         self.special, self.size = special, size
         self.dtype, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
-        self.simple = regex.compile(r" ?\p{L}+").fullmatch
         self.space = regex.compile(r"\s").search
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.chunks = _Chunks(self._chunk)
+        self.chunks = Chunks(self._chunk)
 
     def whole_text(self, text: str) -> bytes:
         """Packed ids of a text, by the vocabulary's own split."""
@@ -71,9 +80,9 @@ class ChunkedEncoder:
         raise NotImplementedError
 
     def _chunk(self, chunk: str) -> bytes | None:
-        if self.simple(chunk):
-            return self.simple_piece(chunk)
         body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return self.simple_piece(chunk)
         if body == "" or body != "\n" and self.space(body):
             return None  # white space may meet that of a neighbour: the whole text is split
         return self.whole_text(chunk)
@@ -110,12 +119,9 @@ class PrefixEncoder(ChunkedEncoder):
     def __init__(self, path: str, limit: int | None = None):
         import ahocorasick
 
-        spec = json.loads(open(path, encoding="utf-8").read())
-        to_byte = byte_characters()
-        model = spec["model"]
+        special, raw, merges = read_vocabulary(path)
         limit = limit or 1 << 30
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["id"] < limit}
-        raw = {i: bytes(to_byte[c] for c in t) for t, i in model["vocab"].items() if i < limit and i not in special.values()}
+        special, raw = {s: i for s, i in special.items() if i < limit}, {i: b for i, b in raw.items() if i < limit}
         super().__init__(special, 1 + max([*raw, *special.values()]))
         self.token_bytes = [raw.get(i, b"") for i in range(self.size)]
         for content, i in self.special.items():
@@ -123,9 +129,8 @@ class PrefixEncoder(ChunkedEncoder):
         ids = {b: i for i, b in raw.items()}
         self.rank: dict[int, int] = {}
         parts: dict[int, tuple[int, int, int]] = {}
-        for r, m in enumerate(model["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            x, y = (ids.get(bytes(to_byte[c] for c in s)) for s in (a, b))
+        for r, (left, right) in enumerate(merges):
+            x, y = ids.get(left), ids.get(right)
             if x is None or y is None or self.token_bytes[x] + self.token_bytes[y] not in ids:
                 continue
             self.rank.setdefault(x << 20 | y, r)
@@ -139,7 +144,7 @@ class PrefixEncoder(ChunkedEncoder):
             self.auto.add_word(s, (i, len(s)))
         self.auto.make_automaton()
         self.split = regex.compile(PATTERN)
-        self.pieces = _Chunks(self._piece)
+        self.pieces = Chunks(self._piece)
         self.sizes = [len(b) for b in self.token_bytes]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -205,7 +210,7 @@ class PrefixEncoder(ChunkedEncoder):
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-class _Chunks(dict):
+class Chunks(dict):
     """Results by chunk, CACHE_ENTRIES at most; emptied after as many misses times 16. Long chunks aren't kept."""
 
     def __init__(self, make):

@@ -13,46 +13,57 @@ path are emitted and the open tail is carried on, so memory is bounded by the bu
 the largest document. There is no shuffle; a lost task is simply run again, with the
 same windows and the same ``sequence_id`` (task number and running number).
 
-Cases: a null or empty text is a document of the end id alone; repeated rows are packed as
+Cases: a null or empty text is a document of the end id alone; runs of white space may have any length; the
+vocabulary's special token inside a text gives its own id; repeated rows are packed as
 often as they occur; a null ``doc_id`` stays null; an empty table gives an empty table;
 other input columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from orogen.llm.shared import arrow_map, worker_table
 
-from orogen.llm.bpe import PATTERN, ChunkedEncoder, small_batches, vocabulary_path
+from orogen.llm.bpe import PATTERN, ChunkedEncoder, Chunks, read_vocabulary, small_batches, vocabulary_path
+from orogen.llm.shared import arrow_map, worker_table
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class RankEncoder(ChunkedEncoder):
-    """The same ids by the vocabulary's rank file."""
+    """The ids of a byte-level vocabulary file whose ids count up in the order of its merges.
 
-    def __init__(self, path: str, special: dict[str, int]):
+    Merging the lowest id first is then the file's own order, which a native library does piece by piece. Texts
+    are always split here: the library's own split pattern exhausts its stack on a long run of white space.
+    """
+
+    def __init__(self, path: str):
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        super().__init__(special, 1 + max(*ranks.values(), *special.values()))
-        self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = [b""] * self.size
-        for b, i in ranks.items():
-            self.token_bytes[i] = b
+        special, raw, merges = read_vocabulary(path)
+        ids = {b: i for i, b in raw.items()}
+        made = [ids[x + y] for x, y in merges if x + y in ids]
+        if any(a > b for a, b in zip(made, made[1:])):
+            raise ValueError("ids do not count up in the order of the merges")
+        super().__init__(special, 1 + max([*raw, *special.values()]))
+        self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
+        self.single = self.library._core_bpe.encode_single_piece
+        self.split = regex.compile(PATTERN)
+        self.pieces = Chunks(self.simple_piece)
+        self.token_bytes = [raw.get(i, b"") for i in range(self.size)]
+
+    def simple_piece(self, piece: str) -> bytes:
+        return array(self.code, self.single(piece.encode())).tobytes()
 
     def whole_text(self, text: str) -> bytes:
-        return np.array(self.library.encode_ordinary(text), self.dtype).tobytes()
-
-    simple_piece = whole_text
+        return b"".join([self.pieces[p] for p in self.split.findall(text)])
 
 
 _loaded: dict[str, RankEncoder] = worker_table("packing")
@@ -60,7 +71,7 @@ _loaded: dict[str, RankEncoder] = worker_table("packing")
 
 def rank_encoder(path: str) -> RankEncoder:
     if path not in _loaded:
-        _loaded[path] = RankEncoder(path, {"<|endoftext|>": 50256})
+        _loaded[path] = RankEncoder(path)
     return _loaded[path]
 
 
@@ -72,31 +83,39 @@ def choose_cuts(position: np.ndarray, penalty: np.ndarray, max_tokens: int, clos
     one window of the end.
     """
     n = len(position)
-    exact: dict[int, list[int]] = {}
-    size = 1
+    hits, size = [], 1
     while size <= max_tokens:
         at = np.searchsorted(position, position - size)
-        hit = np.nonzero((at < n) & (position[np.minimum(at, n - 1)] == position - size))[0]
-        for j, i in zip(hit.tolist(), at[hit].tolist(), strict=True):
-            exact.setdefault(j, []).append(i)
+        to = np.flatnonzero((at < n) & (position[np.minimum(at, n - 1)] == position - size))
+        hits.append((to, at[to]))
         size *= 2
+    to, source = map(np.concatenate, zip(*hits))
+    order = np.argsort(to, kind="stable")
+    # pairs of cuts that a power of two lies between, in order of the second
+    exact_to, exact_from, seen = [*to[order].tolist(), n], source[order].tolist(), 0
     pos, pen = position.tolist(), penalty.tolist()
-    cost, back, queue, key = [0.0] * n, [0] * n, deque([0]), [0.0] * n
+    cost, back = [0.0] * n, [0] * n
+    # the queue: cuts, their positions and keys (cost plus position), keys rising
+    queue, place, key, head = [0], [0], [0.0], 0
     for j in range(1, n):
         p = pos[j]
-        while pos[queue[0]] < p - max_tokens:
-            queue.popleft()
-        i = queue[0]
-        best = key[i] + max_tokens - p
-        for x in exact.get(j, ()):
+        least = p - max_tokens
+        while place[head] < least:
+            head += 1
+        i, best = queue[head], key[head] - least
+        while exact_to[seen] == j:
+            x = exact_from[seen]
+            seen += 1
             if cost[x] < best:
                 best, i = cost[x], x
         cost[j] = best = best + 1 + pen[j]
         back[j] = i
-        key[j] = k = best + p
-        while queue and key[queue[-1]] >= k:
-            queue.pop()
+        best += p
+        while len(key) > head and key[-1] >= best:
+            del queue[-1], place[-1], key[-1]
         queue.append(j)
+        place.append(p)
+        key.append(best)
     last = n - 1
     if not close:
         low = int(np.searchsorted(position, position[-1] - max_tokens))
@@ -179,7 +198,7 @@ def pack(
     end_id: int = 1,
 ) -> DataFrame:
     """One row per piece: document, ids before it, length, packed ids, the document's ids, sequence and offset there."""
-    path = path or vocabulary_path("byte_bpe_50k.tiktoken")
+    path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(rank_encoder(path), TaskContext.get().partitionId(), max_tokens, buffer_tokens, sentence_penalty, inner_penalty, end_id)

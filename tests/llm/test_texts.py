@@ -32,7 +32,7 @@ def naive_bpe(enc, piece: bytes):
 
 
 def test_bpe_equals_library_on_random_text(library):
-    enc, rank = bpe.encoder(PATH), packing.rank_encoder(bpe.vocabulary_path("byte_bpe_50k.tiktoken"))
+    enc, rank = bpe.encoder(PATH), packing.rank_encoder(PATH)
     r = random.Random(4)
     parts = ["a", "b", " ", "\n", "\t", "'s", "'LL", "é", "世", "١", "1", " the", "  ", ".", "!!", "<|endoftext|>", "\r\n", "aaaa", "\0", "ing", " ", " ", "😀"]
     for _ in range(1500):
@@ -130,6 +130,28 @@ def test_packing(spark, odd, none, library):
     assert packing.pack(odd).count() > 0 and packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t"])
+def test_two_million_blanks_pack(spark, space):
+    text = "a" + space * 2_000_000 + "b"
+    want = bpe.encoder(PATH).encode(text)
+    got = packing.rank_encoder(PATH).encode(text)
+    assert np.array_equal(got, want)
+    pieces = packing.pack(spark.createDataFrame([(1, text), (2, space * 1_200_000)], "doc_id bigint, text string")).drop("ids")
+    rows = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r["doc_id"] for r in rows} == {1, 2} and all(r["n"] == r["all"] for r in rows)
+    assert {r["doc_id"]: r["n"] for r in rows}[1] == len(want) + 1
+
+
+def test_packing_encoder_needs_ids_in_order_of_merges(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["model"]["merges"] = spec["model"]["merges"][:300][::-1]
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="merges"):
+        packing.rank_encoder(str(tmp_path / "v.json"))
+
+
 def test_packing_cost_is_least():
     r = np.random.default_rng(8)
     for _ in range(60):
