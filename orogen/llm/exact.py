@@ -1,18 +1,19 @@
-"""Exact deduplication over an extendible-hash index on shared files (DataFrame operations only).
+"""Exact deduplication through an extendible-hash index on shared files (DataFrame operations only).
 
 1. Every text is normalised once (A-Z lower-cased) and written to the shared folder as an
    entry: 64-bit key, length, SHA-256, ``doc_id`` and the normalised text.
-2. Equal texts are gathered by grouping on key and text: Spark's hash aggregation finds
-   the key's slot and compares the bytes of the text there, and it does so before the
-   shuffle too, so that a text that fills a third of the table leaves each task once.
-3. The directory of the index is built by doubling: from the number of distinct texts
-   under each 16-bit prefix (at most 65,536 rows) every bucket takes the shortest prefix
-   that holds no more than ``capacity`` texts. Prefix ranges are key ranges; entries that
-   no doubling separates share a bucket and are chained in order of length and hash.
-4. The chained entries are written to the shared folder, dealt to owner tasks by bucket;
-   each row finds its entry by bucket, key, length and hash, a join whose hot keys
-   adaptive execution splits. Two texts with one chain position would be an error, which
-   the index checks when it is written.
+2. The directory is built by doubling. It starts with one bucket; a bucket of more than
+   ``capacity`` keys is split by the next bit of the key, again and again, to all 64 bits if need be.
+   One step of the loop looks at ``STEP`` bits: it counts the keys of each prefix, gives each the
+   shortest part of it that is not overfull, and goes on with the overfull ones alone. A bucket is a range of
+   keys, named by its first key.
+3. A key that one row holds needs no comparison. The rows of all others are dealt to their buckets. They are
+   first gathered in slices by the row's id, so that a text that fills a third of the
+   table comes to its bucket as ``SLICES`` partial sums at most (and leaves each task once).
+4. The owner of a bucket compares the bytes of all texts of a key: equal ones become one entry, different
+   ones are chained under the key. The entries, with the group's size and the id that stays, are
+   written to the shared folder, and each row finds its own by bucket, key, length and hash. Two chained texts of one
+   length and SHA-256 would be an error, which the owner checks.
 
 Cases: null text counts as empty; a null ``doc_id`` is kept only when its text has no other
 row; repeated rows are members of the group like any other, and all rows that carry the
@@ -22,54 +23,93 @@ columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orogen.llm.shared import ascii_lower, materialise
 
-DEPTH = 16
+STEP = 16
+SLICES = 16
 
 
-def entries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def entries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Normalised text, key, length and hash of every row, in the shared folder."""
     norm = df.select(F.col(id_col).cast("bigint").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
-    rows = norm.select("doc_id", F.xxhash64("norm").alias("key"), F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
+    rows = norm.select("doc_id", key_of(F.col("norm")).alias("key"), F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
     return materialise(rows, "exact-entries")
 
 
-def directory(groups: DataFrame, capacity: int) -> DataFrame:
-    """``prefix`` (all 16 bits), local ``depth`` and ``bucket`` after doubling. At most 65,536 rows."""
-    counts = groups.groupBy(F.shiftrightunsigned("key", 64 - DEPTH).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    levels = counts.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"))
-    levels = levels.withColumn("node", F.expr(f"shiftright(prefix, {DEPTH} - depth)"))
-    nodes = levels.groupBy("depth", "node").agg(F.sum("n").alias("held"))
-    fits = nodes.where((F.col("held") <= capacity) | (F.col("depth") == DEPTH)).select("depth", "node")
-    found = levels.join(fits, ["depth", "node"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
-    bucket = F.expr(f"shiftright(prefix, {DEPTH} - depth) * 32 + depth")
-    return found.select("prefix", "depth", bucket.alias("bucket"))
-
-
-def build_index(rows: DataFrame, capacity: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """The index (one entry per distinct text) and its directory, both on shared files."""
-    groups = rows.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("key", "keep_id", "group_size", F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    groups = materialise(groups, "exact-groups")
-    book = materialise(directory(groups, capacity), "exact-directory")
-    owned = groups.withColumn("prefix", F.shiftrightunsigned("key", 64 - DEPTH)).join(F.broadcast(book), "prefix").drop("prefix")
+def top_bits(bits: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - bits)
+
+
+def directory(keys: DataFrame, capacity: int) -> list[tuple[int, DataFrame]]:
+    """Pages of the directory: bits looked at, and ``prefix`` with its bucket's ``depth`` (null: see the next page).
+
+    The first page has at most 2 ** STEP rows; later ones exist only under its overfull prefixes.
+    """
+    pages, open_ = [], keys
+    for low in range(0, 64, STEP):
+        high = low + STEP
+        counts = open_.groupBy(top_bits(high).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        levels = counts.select("prefix", "n", F.explode(F.sequence(F.lit(low + 1 if low else 0), F.lit(high))).alias("depth"))
+        levels = levels.withColumn("node", F.expr(f"shiftrightunsigned(prefix, {high} - depth)"))
+        held = levels.groupBy("depth", "node").agg(F.sum("n").alias("held"))
+        fits = held.where((F.col("held") <= capacity) | (F.col("depth") == 64)).select("depth", "node")
+        found = levels.join(fits, ["depth", "node"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
+        page = materialise(counts.select("prefix").join(found, "prefix", "left"), "exact-directory")
+        pages.append((high, page))
+        full = page.where("depth is null")
+        if high == 64 or full.isEmpty():
+            break
+        open_ = open_.withColumn("prefix", top_bits(high)).join(full.select("prefix"), "prefix", "left_semi").drop("prefix")
+    return pages
+
+
+def place(keys: DataFrame, pages: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``keys`` with the ``bucket`` (its first key) and ``depth`` that the directory names."""
+    done, rest = [], keys
+    for high, page in pages:
+        page = F.broadcast(page) if high == STEP else page
+        seen = rest.withColumn("prefix", top_bits(high)).join(page, "prefix").drop("prefix")
+        bucket = F.when(F.col("depth") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth)"))
+        done.append(seen.where("depth is not null").withColumn("bucket", bucket))
+        rest = seen.where("depth is null").drop("depth")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def build_index(rows: DataFrame, capacity: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The buckets' keys (``key, n, bucket, depth``), and the chained entries of the keys that several rows hold; both on shared files."""
+    keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    keys = materialise(place(keys, directory(keys.select("key"), capacity)), "exact-buckets")
+    dealt = rows.join(keys.where("n > 1").select("key", "bucket"), "key")
+    sums = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    part = dealt.groupBy("bucket", "key", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice")).agg(*sums)
+    # the bucket alone says which task owns it: gathering and chaining need no further exchange
+    owned = part.repartition("bucket").groupBy("bucket", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    owned = owned.select("bucket", "key", F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     chain = Window.partitionBy("bucket", "key").orderBy("size", "sha")
-    owned = owned.repartition("bucket").withColumns({"chain": F.row_number().over(chain), "twin": F.lag("sha").over(chain)})
+    owned = owned.withColumns({"chain": F.row_number().over(chain), "twin": F.lag("sha").over(chain)})
     fault = F.raise_error(F.lit("two texts share key, length and SHA-256"))
     owned = owned.withColumn("chain", F.when(F.col("twin") == F.col("sha"), fault.cast("int")).otherwise(F.col("chain"))).drop("twin")
-    return materialise(owned, "exact-index"), book
+    return keys, materialise(owned, "exact-index")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 512, key_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, bucket, chain`` of every row."""
-    rows = entries(df, id_col, text_col)
-    index, _ = build_index(rows, capacity)
-    found = rows.select("doc_id", "key", "size", "sha").join(index, ["key", "size", "sha"])
+    rows = entries(df, id_col, text_col, key_of)
+    keys, index = build_index(rows, capacity)
+    rows = rows.select("doc_id", "key", "size", "sha").join(keys.select("key", "n", "bucket"), "key")
+    found = rows.join(index, ["bucket", "key", "size", "sha"], "left")
+    alone = F.col("n") == 1
+    found = found.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "group_size": F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("group_size"))})
     return found.select(
         "doc_id", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain",
+        F.lower(F.hex("sha")).alias("text_sha256"), "bucket", F.coalesce("chain", F.lit(1)).alias("chain"),
     )

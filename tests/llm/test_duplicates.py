@@ -72,16 +72,48 @@ def test_exact_groups(spark, odd, none):
 
 def test_directory_doubling_splits_overfull_buckets(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 2000).alias("text"))
-    index, book = exact.build_index(exact.entries(df), capacity=100)
-    sizes = {r["bucket"]: r["n"] for r in index.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    assert sum(sizes.values()) == 2000 and max(sizes.values()) <= 100 and len(sizes) > 20
-    assert book.count() <= 1 << 16 and book.groupBy("prefix").count().where("count > 1").count() == 0
+    keys, index = exact.build_index(exact.entries(df), capacity=100)
+    held = [(r["bucket"], r["depth"], r["keys"]) for r in keys.groupBy("bucket", "depth").agg(F.collect_list("key").alias("keys")).collect()]
+    assert sum(len(k) for _, _, k in held) == 2000 and max(len(k) for _, _, k in held) <= 100 and len(held) > 20
+    mask = (1 << 64) - 1
+    for bucket, depth, own in held:
+        assert all(((k & mask) >> (64 - depth)) == ((bucket & mask) >> (64 - depth)) for k in own)
+        parent = depth - 1  # doubling stops as soon as a bucket fits
+        near = sum(((k & mask) >> (64 - parent)) == ((bucket & mask) >> (64 - parent)) for _, _, ks in held for k in ks)
+        assert near > 100
+    assert index.count() == 1000 and {r["chain"] for r in index.collect()} == {1}
+
+
+def test_directory_goes_through_all_bits(spark):
+    # keys that differ in their last bits only, next to two far ones
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 200).alias("text"))
+    low = lambda norm: F.when(norm == "t7", F.lit(-5)).otherwise(F.substring(norm, 2, 9).cast("bigint"))
+    rows = exact.entries(df, key_of=low)
+    keys, _ = exact.build_index(rows, capacity=3)
+    sizes = [r["count"] for r in keys.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 3 and keys.agg(F.max("depth")).first()[0] > 60
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_groups(df, capacity=3, key_of=low).collect()}
+    assert got == {i: (max(j for j in (i % 200, i % 200 + 200) if j < 300), 1 + (i % 200 < 100)) for i in range(300)}
+
+
+@pytest.mark.parametrize("capacity", [1, 512])
+def test_different_texts_of_one_key_are_chained(spark, capacity):
+    # two keys for all texts: without a comparison of the bytes in the chain, groups would fall together
+    texts = ["same"] * 50 + ["Other"] * 7 + ["other"] * 4 + ["x" * 5, "y" * 5, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = exact.exact_groups(df, capacity=capacity, key_of=lambda norm: F.length(norm).cast("bigint") % 2).collect()
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(lower(t), []).append(i)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in got} == {i: (max(g), len(g)) for g in groups.values() for i in g}
+    assert len({(r["bucket"], r["chain"], r["text_sha256"]) for r in got}) == len(groups) == 5
+    assert sorted(r["chain"] for r in {r["text_sha256"]: r for r in got}.values()) == [1, 1, 2, 2, 3]
 
 
-def test_one_bucket_of_equal_keys_is_chained(spark):
-    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+def test_one_text_in_many_rows_is_one_entry(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     got = exact.exact_groups(df, capacity=1).collect()
-    assert {(r["keep_id"], r["group_size"]) for r in got} == {(49, 50)} and sum(r["kept"] for r in got) == 1
+    assert {(r["keep_id"], r["group_size"], r["chain"]) for r in got} == {(499, 500, 1)} and sum(r["kept"] for r in got) == 1
 
 
 def kept_lines(rows):
