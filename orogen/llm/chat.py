@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from orogen.llm.shared import arrow_map
 
 from orogen.llm.bpe import vocabulary_path
+from orogen.llm.shared import arrow_map, worker_table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(re.escape(START) + r"(.*?)" + re.escape(SEP) + r"(.*?)" + re.escape(END), re.S)
@@ -85,7 +85,7 @@ def masked_spans(offsets: np.ndarray, mask: np.ndarray) -> tuple[list[int], list
     return offsets[edge[0::2], 0].tolist() if len(edge) else [], offsets[edge[1::2] - 1, 1].tolist() if len(edge) else []
 
 
-_loaded: dict = {}
+_loaded: dict = worker_table("chat")
 
 
 def tokenizer(path: str):

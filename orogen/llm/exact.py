@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orogen.llm.shared import ascii_lower, materialise
+from orogen.llm.shared import ascii_lower, discard, materialise
 
 STEP = 16
 SLICES = 16
@@ -85,8 +85,10 @@ def place(keys: DataFrame, pages: list[tuple[int, DataFrame]]) -> DataFrame:
 
 def build_index(rows: DataFrame, capacity: int = 512) -> tuple[DataFrame, DataFrame]:
     """The buckets' keys (``key, n, bucket, depth``), and the chained entries of the keys that several rows hold; both on shared files."""
-    keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
-    keys = materialise(place(keys, directory(keys.select("key"), capacity)), "exact-buckets")
+    counts = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    pages = directory(counts.select("key"), capacity)
+    keys = materialise(place(counts, pages), "exact-buckets")
+    discard(counts, *(page for _, page in pages))
     dealt = rows.join(keys.where("n > 1").select("key", "bucket"), "key")
     sums = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     part = dealt.groupBy("bucket", "key", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice")).agg(*sums)

@@ -6,12 +6,15 @@ cut it into pieces of the product of their probabilities, which a forward pass o
 the word's positions yields; a text's is the product over its words (pieces do not reach over
 white space), so each distinct word is summed once per task. The forward pass handles many
 words at a time: matches of all words, from one Aho-Corasick scan, are combined position by
-position. Characters that are no piece count as one unknown piece.
+position, for at most ``STATES`` positions times languages. A longer word (text without white space) is
+summed alone, and only the positions that the longest piece reaches back to are held, so
+memory does not grow with the word. Characters that are no piece count as one unknown piece.
 
 Training: piece counts are expectations over all segmentations of the training words
 under equal piece probabilities, smoothed by ``smoothing``, on at most ``sample_rows`` labelled
 rows (documented bound; the rows whose hashed ids come first). Their ids are few enough to
-broadcast; the model has as many rows as languages times pieces.
+broadcast; the model has as many rows as languages times pieces. To learn from, words longer than ``LONG`` characters are
+cut into words of that length.
 
 Cases: null text, or text without letters: ``und`` with score 0; null languages are not
 learned; with nothing to learn from every text is ``und``; ties go to the first language
@@ -37,6 +40,8 @@ from orogen.llm.bpe import small_batches, vocabulary_path
 from orogen.llm.shared import arrow_map, fresh, quoted, worker_table
 
 WORDS_KEPT = 400_000
+LONG = 1 << 12
+STATES = 1 << 19
 QUANTUM = 1 << 16
 LETTER = regex.compile(r"\p{L}")
 MARKS = ".,;:!?()\"'"  # fixed value: marks that stand as words of their own
@@ -50,12 +55,13 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.auto, self.single = ahocorasick.Automaton(), set()
+        self.auto, self.single, self.longest = ahocorasick.Automaton(), set(), 1
         self.size = model.get_piece_size() + 1  # the last is the unknown piece
         for i in range(self.size - 1):
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)):
                 piece = model.id_to_piece(i)
                 self.auto.add_word(piece, (i, len(piece)))
+                self.longest = max(self.longest, len(piece))
                 if len(piece) == 1:
                     self.single.add(piece)
         self.auto.make_automaton()
@@ -104,6 +110,45 @@ def forward(pieces: Pieces, words: list[str], logp: np.ndarray) -> np.ndarray:
     return total[first + np.array([len(w) + 1 for w in words], np.int64)]
 
 
+def forward_long(pieces: Pieces, word: str, logp: np.ndarray) -> np.ndarray:
+    """Log probability of one word of any length in each language, over a ring of the positions that a piece can reach back to."""
+    text, size = "▁" + word, pieces.longest + 1
+    ring = np.full((size, logp.shape[1]), -np.inf)
+    ring[0] = 0.0
+    found = pieces.auto.iter(text)
+    at = next(found, None)
+    for end in range(1, len(text) + 1):
+        source, piece = [], []
+        while at is not None and at[0] == end - 1:
+            piece.append(at[1][0])
+            source.append((end - at[1][1]) % size)
+            at = next(found, None)
+        if text[end - 1] not in pieces.single:
+            piece.append(pieces.size - 1)
+            source.append((end - 1) % size)
+        ring[end % size] = np.logaddexp.reduce(ring[source] + logp[piece], axis=0)
+    return ring[len(text) % size]
+
+
+def word_losses(pieces: Pieces, words: list[str], logp: np.ndarray) -> Iterator[np.ndarray]:
+    """``forward`` of all words in order, by groups of bounded size."""
+    group, held = [], 0
+    for word in words:
+        if len(word) > LONG:
+            if group:
+                yield forward(pieces, group, logp)
+            yield forward_long(pieces, word, logp)[None, :]
+            group, held = [], 0
+            continue
+        group.append(word)
+        held += (len(word) + 2) * logp.shape[1]
+        if held > STATES:
+            yield forward(pieces, group, logp)
+            group, held = [], 0
+    if group:
+        yield forward(pieces, group, logp)
+
+
 def expected_counts(pieces: Pieces, words: list[str], times: np.ndarray) -> np.ndarray:
     """Expected piece counts by language of words seen ``times`` (rows: words), all pieces alike."""
     start, end, piece, first = pieces.matches(words)
@@ -129,8 +174,21 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def by_length(words: list[str]) -> Iterator[list[str]]:
+    """Groups of at most 4,096 words and some 64 * ``LONG`` characters."""
+    group, held = [], 0
+    for word in words:
+        group.append(word)
+        held += len(word)
+        if len(group) == 4096 or held >= 64 * LONG:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 _loaded: dict[str, Pieces] = worker_table("langid")
-_words: dict = {}
+_words: dict = worker_table("langid")
 
 
 def pieces_of(path: str) -> Pieces:
@@ -151,8 +209,7 @@ def train(df: DataFrame, path: str, id_col: str, text_col: str, lang_col: str, s
 
         def settle():
             words, langs = list({w for c in seen.values() for w in c}), list(seen)
-            for low in range(0, len(words), 4096):
-                part = words[low : low + 4096]
+            for part in by_length(words):
                 got = expected_counts(pieces, part, np.array([[seen[g].get(w, 0) for g in langs] for w in part], float))
                 for i, g in enumerate(langs):
                     sums[g] = sums.get(g, 0) + got[:, i]
@@ -160,7 +217,10 @@ def train(df: DataFrame, path: str, id_col: str, text_col: str, lang_col: str, s
 
         for batch in small_batches(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(lang, Counter()).update(words_of(text))
+                words = words_of(text)
+                if any(len(w) > LONG for w in words):
+                    words = [w[i : i + LONG] for w in words for i in range(0, len(w), LONG)]
+                seen.setdefault(lang, Counter()).update(words)
             if sum(map(len, seen.values())) > 100_000:
                 settle()
         settle()
@@ -200,9 +260,10 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], path: str, id_co
             base, table = len(at), _words["table"]
             if base + len(new) > len(table):
                 _words["table"] = table = np.concatenate((table[:base], np.zeros((base + 2 * len(new), len(langs)))))
-            for low in range(0, len(new), 8192):
-                part = new[low : low + 8192]
-                table[base + low : base + low + len(part)] = forward(pieces, part, logp)
+            low = base
+            for part in word_losses(pieces, new, logp):
+                table[low : low + len(part)] = part
+                low += len(part)
             at.update(zip(new, range(base, base + len(new))))
             names, scores = [], []
             for words in split:

@@ -2,7 +2,8 @@
 
 Nothing here keeps state on a machine-local disk of a cluster: scratch tables are
 parquet files in the folder the session names in ``spark.checkpoint.dir``, so a lost
-executor only costs the tasks it was running.
+executor only costs the tasks it was running. Tables that later ones replace are deleted at
+once, the others with ``clear_scratch`` or when the driver ends.
 """
 
 from __future__ import annotations
@@ -22,12 +23,48 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; sets one only when the session has none."""
+    """A fresh path under this application's folder in the shared one, which goes when the driver ends.
+
+    Without ``spark.checkpoint.dir`` a local master gets a folder of its own; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="orogen-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/orogen/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/orogen/{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        system, path = file_system(spark, own)
+        system.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_folders: set[str] = set()
+
+
+def file_system(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``materialise`` that nothing will read again."""
+    for t in tables:
+        system, path = file_system(t.sparkSession, t._scratch)
+        system.delete(path, True)
+
+
+def clear_scratch(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete this application's scratch tables but ``keep``: results that still read others must be written first."""
+    kept = {t._scratch.rsplit("/", 1)[1] for t in keep}
+    for own in _folders:
+        system, path = file_system(spark, own)
+        if own.endswith(spark.sparkContext.applicationId) and system.exists(path):
+            for f in system.listStatus(path):
+                if f.getPath().getName() not in kept:
+                    system.delete(f.getPath(), True)
 
 
 _shipped: set[str] = set()
@@ -71,7 +108,7 @@ def release(user: str) -> None:
 def arrow_map(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with this package on the executors; a worker holds the tables of one operator at a time."""
     ship(df.sparkSession)
-    if df.sparkSession.conf.get(BATCH_SETTING, None) in (None, str(64 << 20)):
+    if BATCH_SETTING not in df.sparkSession.conf.getAll:
         df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
     user = function.__module__.rpartition(".")[2]
 
@@ -87,7 +124,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -138,7 +177,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialise(small.distinct(), name)
+        old, e = e, materialise(small.distinct(), name)
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())

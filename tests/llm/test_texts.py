@@ -189,6 +189,23 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got, np.log(total[-1]))
 
 
+def test_long_words_are_summed_in_bounded_memory(monkeypatch):
+    pieces = langid.pieces_of(bpe.vocabulary_path("piece_bpe_32k.model"))
+    r = np.random.default_rng(3)
+    logp = np.log(r.dirichlet(np.ones(pieces.size), 5).T)
+    words = ["thing" * 40 + "世界\U0001f600x", "a", "étoile" * 30, "\U0001f600" * 50, "in"]
+    want = langid.forward(pieces, words, logp)
+    monkeypatch.setattr(langid, "LONG", 20)
+    monkeypatch.setattr(langid, "STATES", 12)
+    assert np.allclose(np.concatenate(list(langid.word_losses(pieces, words, logp))), want)
+
+
+def test_text_without_white_space(spark):
+    rows = [(i, "thisisawordofonelanguage" * (4000 if i == 1 else 3), "en") for i in range(20)] + [(20 + i, "ceciestunmotduneautrelangue" * 5, "fr") for i in range(20)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
+
+
 def test_expected_counts_are_posterior_means():
     pieces = langid.pieces_of(bpe.vocabulary_path("piece_bpe_32k.model"))
     got = langid.expected_counts(pieces, ["then"], np.array([[2.0]]))[:, 0]
