@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,7 @@ from orogen.llm.shared import arrow_map, fresh, quoted, worker_table
 WORDS_KEPT = 400_000
 LONG = 1 << 12
 STATES = 1 << 19
+SIZE_BITS = 16
 QUANTUM = 1 << 16
 LETTER = regex.compile(r"\p{L}")
 MARKS = ".,;:!?()\"'"  # fixed value: marks that stand as words of their own
@@ -60,7 +60,7 @@ class Pieces:
         for i in range(self.size - 1):
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)):
                 piece = model.id_to_piece(i)
-                self.auto.add_word(piece, (i, len(piece)))
+                self.auto.add_word(piece, i << SIZE_BITS | len(piece))  # one number: nothing to unpack for each match
                 self.longest = max(self.longest, len(piece))
                 if len(piece) == 1:
                     self.single.add(piece)
@@ -74,9 +74,8 @@ class Pieces:
         characters having n + 1.
         """
         joined = "\n".join("▁" + w for w in words)
-        found = list(self.auto.iter(joined))
-        last = np.fromiter(map(itemgetter(0), found), np.int64, len(found))
-        piece, size = np.fromiter(chain.from_iterable(map(itemgetter(1), found)), np.int64, 2 * len(found)).reshape(-1, 2).T
+        last, found = np.fromiter(chain.from_iterable(self.auto.iter(joined)), np.int64).reshape(-1, 2).T
+        piece, size = found >> SIZE_BITS, found & ((1 << SIZE_BITS) - 1)
         lone, at = [], 0
         for run in self.known.finditer(joined):
             lone.extend(range(at, run.start()))
@@ -120,8 +119,8 @@ def forward_long(pieces: Pieces, word: str, logp: np.ndarray) -> np.ndarray:
     for end in range(1, len(text) + 1):
         source, piece = [], []
         while at is not None and at[0] == end - 1:
-            piece.append(at[1][0])
-            source.append((end - at[1][1]) % size)
+            piece.append(at[1] >> SIZE_BITS)
+            source.append((end - (at[1] & ((1 << SIZE_BITS) - 1))) % size)
             at = next(found, None)
         if text[end - 1] not in pieces.single:
             piece.append(pieces.size - 1)
