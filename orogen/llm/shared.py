@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         _folders.add(own)
         system, path = file_system(spark, own)
         system.deleteOnExit(path)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+    made = f"{own}/{name}-{uuid.uuid4().hex}"
+    _made.append(made)
+    return made
 
 
 _folders: set[str] = set()
+_made: list[str] = []
 
 
 def file_system(spark: SparkSession, name: str):
@@ -56,15 +60,19 @@ def discard(*tables: DataFrame) -> None:
         system.delete(path, True)
 
 
-def clear_scratch(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete this application's scratch tables but ``keep``: results that still read others must be written first."""
-    kept = {t._scratch.rsplit("/", 1)[1] for t in keep}
-    for own in _folders:
-        system, path = file_system(spark, own)
-        if own.endswith(spark.sparkContext.applicationId) and system.exists(path):
-            for f in system.listStatus(path):
-                if f.getPath().getName() not in kept:
-                    system.delete(f.getPath(), True)
+@contextmanager
+def only_result(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the scratch tables made inside but those the block puts into the list."""
+    start, kept = len(_made), []
+    yield kept
+    clear_scratch(spark, start, {t._scratch for t in kept})
+
+
+def clear_scratch(spark: SparkSession, start: int = 0, keep: set[str] = frozenset()) -> None:
+    """Delete scratch tables (from the ``start``-th on); results that read them must have been written."""
+    for name in [m for m in _made[start:] if m not in keep]:
+        system, path = file_system(spark, name)
+        system.delete(path, True)
 
 
 _shipped: set[str] = set()
