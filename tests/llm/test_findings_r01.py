@@ -43,6 +43,30 @@ def test_near_groups_link_at_jaccard(spark, slice_bytes):
     assert found and roots(len(texts), found + same) == want
 
 
+def test_sketches_keep_all_near_pairs_and_few_others():
+    r = np.random.default_rng(1)
+    made = []
+    for _ in range(300):
+        a = r.integers(0, 1 << 62, 200).astype(np.uint64)
+        for share in (0.82, 0.2):  # Jaccard similarity of the second to the first
+            n = round(200 * 2 * share / (1 + share))
+            b = np.concatenate((a[:n], r.integers(0, 1 << 62, 200 - n).astype(np.uint64)))
+            made.append([shingles.bands(np.sort(x))[1] for x in (a, b)])
+    got = shingles.alike(np.array(made), np.full((600, 2), 1600), 0.8)
+    assert got[0::2].all() and got[1::2].mean() < 0.02
+    assert not shingles.alike(np.array(made[:2]), np.array([[1600, 1200]] * 2), 0.8).any()
+
+
+@pytest.mark.parametrize("n", [3, 700])
+def test_plausible_members_of_every_band_size(spark, n):
+    sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 62, 100).astype(np.uint64)) for i in range(n - 1)]
+    planes = [shingles.bands(x)[1].tolist() for x in [*sets, sets[0]]]
+    rows = [(b, b * 10_000 + i, 800, *p) for b in (5, 6, 9) for i, p in enumerate(planes)] + [(7, 1, 800, *planes[0]), (7, 2, 800, *planes[0])]
+    df = spark.createDataFrame(rows, "band bigint, class bigint, size int, s0 bigint, s1 bigint, s2 bigint, s3 bigint").repartition(2, "band").sortWithinPartitions("band")
+    got = sorted(map(tuple, shingles.plausible(df, 0.8).collect()))
+    assert got == sorted([(b, b * 10_000 + i) for b in (5, 6, 9) for i in (0, n - 1)] + [(7, 1), (7, 2)])
+
+
 def test_stage_drops_near_copies_over_four_bits(spark):
     texts = near_texts()
     a, b = next((a, b) for a, b in zip(texts[::2], texts[1::2]) if jaccard(a, b) >= 0.8 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 4)
