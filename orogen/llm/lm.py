@@ -9,9 +9,8 @@ is sampled and no n-gram is left out, so the tables grow with the input.
 1. Texts are encoded once; chunks of documents (about ``CHUNK`` bytes of text) go to the shared folder.
 2. Each chunk's distinct n-grams with their counts are dealt to buckets by the hash of their context. There are
    as many buckets as chunks ask for, so that a bucket's size stays the same as the input grows.
-3. A bucket's owner adds them up, writes its part of the table to the shared folder (rows without a
-   chunk), and answers each chunk with the sums of what it holds; only sums of single ids (bounded by the
-   vocabulary) are broadcast.
+3. A bucket's owner adds them up: its part of the table. It answers each chunk with the sums of what the chunk
+   holds, so that no document needs the table; only sums of single ids (bounded by the vocabulary) are broadcast.
 4. Chunks meet their answers and score their documents: mean loss per token under the target minus
    that under the background (lower: more like the target).
 
@@ -132,7 +131,7 @@ def single_counts(chunks: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def ngram_counts(chunks: DataFrame, vocabulary: int, order: int, buckets: int) -> DataFrame:
-    """``bucket, chunk, keys, sums``: the table (null chunk), and for each chunk the sums of its keys in order."""
+    """``bucket, chunk, sums``: for each chunk the sums of its keys in the bucket, in order of the keys."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("lm counts")  # the encoder is done
@@ -163,12 +162,11 @@ def ngram_counts(chunks: DataFrame, vocabulary: int, order: int, buckets: int) -
             first = np.flatnonzero(np.diff(all_keys >> np.uint64(ID_BITS), prepend=np.uint64(0)))
             size = np.diff(first, append=len(all_keys))
             full = np.concatenate((sums, np.repeat(np.add.reduceat(sums, first, axis=1), size, axis=1)))
-            yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([None], pa.int64()), pa.array([packed(np.diff(all_keys, prepend=np.uint64(0)))], pa.binary()), pa.array([packed(sums.reshape(-1))], pa.binary())], names=["bucket", "chunk", "keys", "sums"])
             low = 0
             for name, k in zip(names, keys):
                 mine = full[:, at[low : low + len(k)]]
                 low += len(k)
-                yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([name]), pa.array([None], pa.binary()), pa.array([packed(mine.reshape(-1))], pa.binary())], names=["bucket", "chunk", "keys", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([name]), pa.array([packed(mine.reshape(-1))], pa.binary())], names=["bucket", "chunk", "sums"])
 
         for batch in batches:
             for b, chunk, k, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -184,7 +182,7 @@ def ngram_counts(chunks: DataFrame, vocabulary: int, order: int, buckets: int) -
 
     rows = arrow_map(chunks.select("chunk", "target", "n", "ids"), spread, "bucket bigint, chunk bigint, keys binary, counts binary")
     rows = rows.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "chunk")
-    return materialise(arrow_map(rows, add, "bucket bigint, chunk bigint, keys binary, sums binary"), "lm-table")
+    return arrow_map(rows, add, "bucket bigint, chunk bigint, sums binary")
 
 
 def score(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", vocabulary: int | None = None, mu: float = 200.0, order: int = 2) -> DataFrame:
@@ -199,7 +197,7 @@ def score(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     buckets = max(32, -(-chunks.count() // BUCKET_CHUNKS))
     single = single_counts(chunks, vocabulary)
     shared = df.sparkSession.sparkContext.broadcast((single + 1) / (single.sum(axis=1, keepdims=True) + vocabulary))
-    answers = ngram_counts(chunks, vocabulary, order, buckets).where("chunk is not null")
+    answers = ngram_counts(chunks, vocabulary, order, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("lm counts")
