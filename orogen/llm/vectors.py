@@ -3,15 +3,19 @@
 A hash turns a vector by rounds of random signs and fast Hadamard transforms and
 takes its closest signed axis; ``k`` such axes name a bucket of one table. Each vector has a
 home bucket in every table and visits the next likely ones (multiprobe). ``k`` grows with
-the logarithm of the number of vectors, so that buckets keep their size.
+the logarithm of the number of vectors, so that buckets keep their size; it can be given as well.
 
 Equal vectors are one row first, with their count. In a bucket, home rows are compared with
 all rows by matrix products in double precision; every pair with cosine at or over the
 threshold is a link, and pairs below it never are. A pair that meets in several buckets
 counts in the first only, which both rows can tell from their bucket lists, so that link
 counts are sums and no pair is ever emitted: a bucket returns counts and a spanning forest.
-Buckets over ``slice_rows`` rows (or over a hundred-thousandth of all rows, so that their
-table has a bounded size and can be broadcast) are cut into slices that meet two by two.
+Every bucket over ``slice_rows`` rows is cut into slices that meet two by two. Buckets are counted and cut on
+narrow rows (ids and bucket numbers, written once); vectors join them last.
+
+The number of tables for each ``k`` is such that two vectors of cosine 0.95 share no bucket once in
+some thousand times, in 64 to 256 dimensions; ``k`` above 5 is not offered (it would be due at 34 billion vectors:
+from there buckets grow, and slices keep them in bounds).
 
 Cases: vectors that are null, zero, empty or hold null or non-finite components link with
 nothing; vectors of different lengths do not link; rows that repeat a ``vec_id`` with one
@@ -27,14 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orogen.llm.shared import arrow_map, components, materialise
+from orogen.llm.shared import arrow_map, components, discard, materialise
 from orogen.llm.simhash import forest
 
-TABLES = {1: 5, 2: 9, 3: 14}
-PROBES = {1: 2, 2: 2, 3: 3}
+TABLES = {1: 4, 2: 7, 3: 12, 4: 20, 5: 36}
+PROBES = {1: 2, 2: 2, 3: 3, 4: 4, 5: 5}
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -85,12 +90,10 @@ def code_type(length: int, k: int) -> str:
     return "<i4" if (2 << max(1, (length - 1).bit_length())) ** k < 1 << 31 else "<i8"
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal length as doubles, and which of them have finite components and a length."""
-    x = np.array(column.to_pylist(), dtype=np.float64)
-    x = x.reshape(len(column), -1)
-    norm = np.linalg.norm(np.where(np.isfinite(x), x, 0.0), axis=1)
-    return x, np.isfinite(x).all(axis=1) & (norm > 0)
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component goes first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def counted_here(own: np.ndarray, other: np.ndarray, table: int, bucket: int) -> np.ndarray:
@@ -116,7 +119,7 @@ def compare(cells: DataFrame, k: int, tables: int, probes: int, threshold: float
             rid, n, part = rows["rid"].to_numpy(), rows["n"].to_numpy(), rows["part"].to_numpy()
             codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), code_type(key[0], k)).reshape(len(rid), tables, 1 + probes)
             x = np.frombuffer(b"".join(rows["vec"].to_pylist()), kind).reshape(len(rid), -1).astype(np.float64)
-            unit = x / np.linalg.norm(x, axis=1)[:, None]
+            unit = unit_rows(x)
             add, a, e = np.zeros(len(rid), np.int64), [], []
             left = np.flatnonzero(part == s)
             right = np.flatnonzero(part == u)
@@ -172,7 +175,27 @@ def compare(cells: DataFrame, k: int, tables: int, probes: int, threshold: float
     return arrow_map(cells, run, "rid bigint, add bigint, other bigint")
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, slice_rows: int = 4096, seed: int = 7) -> DataFrame:
+def coded(classes: DataFrame, k: int, seed: int, kind: str) -> DataFrame:
+    """``width, rid, n, cells, codes, vec``: each vector's bucket numbers (also packed) and its components packed."""
+    tables, probes = TABLES[k], PROBES[k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                mine = whole.filter(pa.array(lengths == d))
+                for low in range(0, mine.num_rows, 512):
+                    batch = mine.slice(low, 512)
+                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                    cells = buckets(unit_rows(x), k, tables, probes, seed).reshape(len(x), -1)
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.reshape(-1)))
+                    packed = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (cells.astype(code_type(d, k)), x.astype(kind))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), d)), batch.column(0), batch.column(1), flat, *packed], names=["width", "rid", "n", "cells", "codes", "vec"])
+
+    return materialise(arrow_map(classes.select("rid", "n", "vec"), run, "width bigint, rid bigint, n bigint, cells array<bigint>, codes binary, vec binary"), "vectors-codes")
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, slice_rows: int = 4096, seed: int = 7, k: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     # single-precision input travels as it is: it widens to the same doubles where it is compared
     single = df.select(vector_col).dtypes[0][1] == "array<float>"
@@ -181,37 +204,24 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sound = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     classes = rows.where(F.coalesce(sound, F.lit(False))).groupBy("vec").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "vectors-classes")
-    total = classes.count()
-    k = min(3, max(1, math.ceil(math.log(max(total, 2) / 128) / math.log(128)))) if total > 128 else 1
+    if k is None:
+        k = min(5, max(1, math.ceil(math.log(max(classes.count(), 2) / 128) / math.log(128))))
     tables, probes = TABLES[k], PROBES[k]
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            lengths = np.array([len(v) for v in whole.column(2).to_pylist()])
-            for d in np.unique(lengths):
-                mine = whole.take(pa.array(np.flatnonzero(lengths == d)))
-                for low in range(0, mine.num_rows, 512):
-                    batch = mine.slice(low, 512)
-                    x, ok = matrix(batch.column(2))
-                    codes = buckets(x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None], k, tables, probes, seed)
-                    packed, vecs = [c.tobytes() for c in codes.astype(code_type(int(d), k))], [v.tobytes() for v in x.astype(kind)]
-                    for t in range(tables):
-                        m = len(x) * (1 + probes)
-                        take = np.repeat(np.arange(len(x)), 1 + probes)
-                        fields = [np.full(m, d), np.full(m, t), codes[:, t, :].reshape(-1), np.tile(np.arange(1 + probes) == 0, len(x)), batch.column(0).to_numpy()[take], batch.column(1).to_numpy()[take]]
-                        yield pa.RecordBatch.from_arrays([pa.array(f) for f in fields] + [pa.array([packed[i] for i in take], pa.binary()), pa.array([vecs[i] for i in take], pa.binary())], names=["width", "t", "b", "home", "rid", "n", "codes", "vec"])
-
-    spread_schema = "width bigint, t bigint, b bigint, home boolean, rid bigint, n bigint, codes binary, vec binary"
-    cells = arrow_map(classes.select("rid", "n", "vec"), spread, spread_schema)
-    limit = max(slice_rows, total * tables * (1 + probes) // 100_000)
-    hot = cells.groupBy("width", "t", "b").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > limit)
-    hot = materialise(hot.select("width", "t", "b", F.ceil(F.col("rows") / slice_rows).cast("bigint").alias("slices")), "vectors-hot")
-    cells = cells.join(F.broadcast(hot), ["width", "t", "b"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    codes = coded(classes, k, seed, kind)
+    visits = 1 + probes
+    cells = codes.select("width", "rid", F.posexplode("cells").alias("at", "b"))
+    cells = cells.select("width", F.expr(f"at div {visits}").alias("t"), "b", "rid", (F.col("at") % visits == 0).alias("home"))
+    place = ["width", "t", "b"]
+    hot = cells.groupBy(place).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > slice_rows)
+    hot = materialise(hot.select(*place, F.ceil(F.col("rows") / slice_rows).cast("bigint").alias("slices")), "vectors-hot")
+    cells = cells.join(hot, place, "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("bigint")))
     cells = cells.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("slices")))
     cells = cells.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
-    cells = cells.select("width", "t", "b", F.least("part", "meets").alias("s"), F.greatest("part", "meets").alias("u"), "home", "rid", "n", "part", "codes", "vec")
-    cells = cells.repartition("width", "t", "b", "s", "u").sortWithinPartitions("width", "t", "b", "s", "u")
+    cells = cells.select(*place, F.least("part", "meets").alias("s"), F.greatest("part", "meets").alias("u"), "home", "rid", "part")
+    cells = cells.join(codes.select("rid", "n", "codes", "vec"), "rid").select(*place, "s", "u", "home", "rid", "n", "part", "codes", "vec")
+    cells = cells.repartition(*place, "s", "u").sortWithinPartitions(*place, "s", "u")
     found = materialise(compare(cells, k, tables, probes, threshold, kind), "vectors-found")
+    discard(codes, hot)
     counts = found.groupBy("rid").agg(F.sum("add").alias("more"))
     roots = components(found.where("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")), "vectors-components")
     label = classes.select("rid", "n", "vec").join(counts, "rid", "left").join(roots.select(F.col("v").alias("rid"), F.col("root")), "rid", "left")
