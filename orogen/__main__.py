@@ -5,7 +5,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from orogen.plans.clustering import fit
-from orogen.sources.points import read_text, write_labels
+from orogen.sources.points import read_text
 
 
 def main(args: list[str]) -> int:
@@ -14,10 +14,7 @@ def main(args: list[str]) -> int:
         return 1
     spark = SparkSession.builder.appName("orogen").getOrCreate()
     points = read_text(spark, args[0], float(args[1]) if len(args) > 1 else 1.0)
-    model = fit(points, points.columns)
-    write_labels(model.transform(points), points.columns, f"{args[0]}.labels")
-    for k, v in model.metrics.items():
-        print(f"{k}: {v}")
+    fit(points, points.columns, labels=f"{args[0]}.labels", report=True)
     spark.stop()
     return 0
 

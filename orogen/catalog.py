@@ -44,7 +44,6 @@ def model_of(spark: SparkSession, sf_dir: str) -> Model:
     """The fitted model of the planted points; fitted once per session and input."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        _models.clear()
         _models[key] = fit(planted(spark, sf_dir), COLS)
     return _models[key]
 
@@ -100,7 +99,7 @@ final as (select l_orderkey, l_linenumber, x0, x1, cast(coalesce(min_by(label, d
 @query(f"with {FINAL} select l_orderkey, l_linenumber, x0 || ' ' || x1 || ' ' || label as line from final")
 def label_lines(spark, sf_dir):
     rows = model_of(spark, sf_dir).transform(planted(spark, sf_dir))
-    return rows.select("l_orderkey", "l_linenumber", F.concat_ws(" ", "x0", "x1", "label").alias("line"))
+    return rows.select("l_orderkey", "l_linenumber", src.label_line(COLS).alias("line"))
 
 
 # --- projections and predicates ----------------------------------------------------------
@@ -141,13 +140,13 @@ BOXES = f"with p as ({POINTS}), b as (select {GROUP} as grp, min(x0) as inf0, ma
 
 def boxes(spark, sf_dir):
     rows = planted(spark, sf_dir).withColumn("grp", F.expr(GROUP))
-    return rows.groupBy("grp").agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(COLS) for f, k in ((F.min, "inf"), (F.max, "sup"))], *stats.sums(COLS))
+    return rows.groupBy("grp").agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(COLS) for f, k in ((F.min, "inf"), (F.max, "sup"))], *stats.sums(COLS, wide=False))
 
 
 @query(BOXES + f" select grp, {BOX[0][0]} <= inf0 and sup0 <= {BOX[1][0]} and {BOX[0][1]} <= inf1 and sup1 <= {BOX[1][1]} as held from b")
 def box_contains_box(spark, sf_dir):
-    (a0, a1), (b0, b1) = BOX
-    return boxes(spark, sf_dir).select("grp", ((F.col("inf0") >= a0) & (F.col("sup0") <= b0) & (F.col("inf1") >= a1) & (F.col("sup1") <= b1)).alias("held"))
+    held = geometry.holds_box(*BOX, [F.col("inf0"), F.col("inf1")], [F.col("sup0"), F.col("sup1")])
+    return boxes(spark, sf_dir).select("grp", held.alias("held"))
 
 
 _W = "greatest(1, cast(trunc((sup{0} - inf{0} + 1) * 0.1::double + 0.5::double) as int))"
@@ -157,11 +156,10 @@ RESTRICTED = BOXES + ", r as (select *, " + ", ".join(f"{_RI.format(i)} as a{i},
 
 
 def restricted(spark, sf_dir):
-    w = lambda i: F.greatest(F.lit(1), ((F.col(f"sup{i}") - F.col(f"inf{i}") + 1) * F.lit(0.1) + F.lit(0.5)).cast("int"))
-    c = lambda i: F.col(f"ls{i}") / F.col("n")
     rows = boxes(spark, sf_dir)
     for i in (0, 1):
-        rows = rows.withColumns({f"a{i}": F.greatest(F.col(f"inf{i}"), (c(i) - w(i)).cast("int")), f"b{i}": F.least(F.col(f"sup{i}"), (c(i) + w(i)).cast("int"))})
+        low, high = geometry.restricted_bounds(F.col(f"ls{i}") / F.col("n"), F.col(f"inf{i}"), F.col(f"sup{i}"))
+        rows = rows.withColumns({f"a{i}": low, f"b{i}": high})
     return rows.withColumn("density", F.col("n") / geometry.box_volume([F.col("inf0"), F.col("inf1")], [F.col("sup0"), F.col("sup1")]))
 
 
@@ -213,7 +211,7 @@ def domain(spark, sf_dir):
 
 @query(f"with p as ({POINTS}), s as (select {SUMS} from p) select n, ls0, ls1, ss0, ss1, {SSQ.format(0)} as ssq0, {SSQ.format(1)} as ssq1, {SSQ.format(0)} + {SSQ.format(1)} as ssq from s")
 def root_summary(spark, sf_dir):
-    return stats.summaries(planted(spark, sf_dir), COLS).select("n", "ls0", "ls1", "ss0", "ss1", *stats.ssq_columns(2))
+    return stats.summaries(planted(spark, sf_dir), COLS).select("n", *[F.col(c).cast("bigint").alias(c) for c in ("ls0", "ls1", "ss0", "ss1")], *stats.ssq_columns(2))
 
 
 _M = ", ".join(f"{BIG.format(f'cast(x{i} as bigint)')} as s{i}" for i in (0, 1)) + ", " + ", ".join(f"{BIG.format(f'cast(x{i} as bigint) * x{i}')} as q{i}" for i in (0, 1))
@@ -239,6 +237,34 @@ def marginal_merge(spark, sf_dir):
     return stats.marginal_combine(m.where("part = 0").drop("part"), m.where("part = 1").drop("part"))
 
 
+_TIMES = ", ".join(f"cast(sum({c} * case block when 0 then 1 else 3 end) as bigint) as {c}" for c in ("cnt", "s0", "s1", "q0", "q1"))
+
+
+def one_block(m, block):
+    return m.where(F.col("block") == block).withColumn("block", F.lit(0))
+
+
+@query(f"with {MARGINALS} select 0 as block, dim, pos, {_TIMES} from m group by dim, pos")
+def marginal_weighted_add(spark, sf_dir):
+    m = two_blocks(spark, sf_dir)
+    return stats.marginal_combine(one_block(m, 0), one_block(m, 1), 3)
+
+
+@query(f"with {MARGINALS} select * from m where block = 0")
+def marginal_retract(spark, sf_dir):
+    return stats.marginal_combine(stats.marginals(planted(spark, sf_dir), COLS), one_block(two_blocks(spark, sf_dir), 1), -1)
+
+
+@query(f"with {MARGINALS} select * from m where pos between 100 and 400")
+def marginal_slice(spark, sf_dir):
+    return stats.marginal_slice(two_blocks(spark, sf_dir), 100, 400)
+
+
+@query(f"with {MARGINALS} select block, dim, cast(sum(cnt) as double) / (max(pos) - min(pos) + 1) as average from m group by block, dim")
+def marginal_average(spark, sf_dir):
+    return stats.marginal_average(two_blocks(spark, sf_dir))
+
+
 @query(f"with {REFINED} select label, n, c0, c1, d0, d1, radius, ssq from f")
 def cluster_profile(spark, sf_dir):
     rows = [(i, s.n, *s.centroid, *s.radii, s.radius, s.ssq) for i, s in enumerate(model_of(spark, sf_dir).refined)]
@@ -269,8 +295,18 @@ def density_threshold(spark, sf_dir):
 t as (select avg(v) + stddev_pop(v) as lim from o)
 select (select n from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold""")
 def noise_threshold(spark, sf_dir):
-    counts = sorted(r["n"] for r in table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).collect())
-    return frame(spark, [(counts[refine.jump_index(counts)],)], "threshold bigint")
+    return frame(spark, [(refine.noise_threshold(size_counts(spark, sf_dir)),)], "threshold bigint")
+
+
+def size_counts(spark, sf_dir):
+    return [r["n"] for r in table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+@query("""with c as (select p_size, count(*) as n from part group by 1), e as (select n, row_number() over (order by n, p_size) - 1 as i from c), s as (select * from e where i between 5 and 30),
+o as (select n, lead(n) over (order by i) / cast(n as double) as v, row_number() over (order by i) as k from s), t as (select avg(v) + stddev_pop(v) as lim from o)
+select (select n from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold""")
+def noise_threshold_slice(spark, sf_dir):
+    return frame(spark, [(refine.noise_threshold(size_counts(spark, sf_dir), 5, 30),)], "threshold bigint")
 
 
 @query(RESTRICTED + f""", h as (select r.grp, count(*) as held from r join p on {GROUP.replace("l_", "p.l_")} = r.grp and x0 between a0 and b0 and x1 between a1 and b1 group by 1)
@@ -343,17 +379,17 @@ def local_extrema(spark, sf_dir):
     return stats.local_extrema(averages(spark, sf_dir))
 
 
-@query()
+@query(f"with p as ({POINTS}), g as (select count(*) as n from p group by {GROUP}) select n, false as valley from g union all select count(*), true from p")
 def valley_flag(spark, sf_dir):
-    """Whether each leaf's and the root's histogram has a valley, by the detector's rules."""
+    """Whether each leaf's and the root's histogram has a valley: the whole has, a planted group has none."""
     model, rows = model_of(spark, sf_dir), planted(spark, sf_dir)
     work, out = Clusterer(COLS, model.options), []
     root = refine.Block(0, model.blocks[0].summary, model.blocks[0].inf, model.blocks[0].sup)
     for tree in ({0: root}, model.blocks):
         leaves = [b.id for b in tree.values() if b.children is None]
-        work.histograms(rows, tree, leaves)
-        out += [(i, tree[i].summary.n, work.valley(tree, i)) for i in leaves]
-    return frame(spark, out, "block int, n bigint, valley boolean")
+        work.valleys(rows, tree, leaves)
+        out += [(tree[i].summary.n, work.valley(tree, i)) for i in leaves]
+    return frame(spark, out, "n bigint, valley boolean")
 
 
 # --- divisive, agglomerative, whole runs -------------------------------------------------
@@ -381,12 +417,45 @@ def merge_pairs(spark, sf_dir):
     return frame(spark, rows, "a bigint, b bigint, cost double, admissible boolean")
 
 
+def parts(spark, sf_dir):
+    """Summaries of the planted groups, each cut by line number: 42 or fewer that lie upon six centres."""
+    rows = planted(spark, sf_dir).withColumn("grp", F.concat(F.expr(GROUP), F.col("l_linenumber").cast("string")))
+    got = sorted(stats.summaries(rows, COLS, ["grp"]).collect(), key=lambda r: r["grp"])
+    return [refine.Summary(r["n"], (int(r["ls0"]), int(r["ls1"])), (int(r["ss0"]), int(r["ss1"])), i) for i, r in enumerate(got)]
+
+
 @query()
 def merge_sequence(spark, sf_dir):
-    rows = [(s["step"], s["left"], s["right"], s["made"].id, s["made"].n, s["cost"], s["index"], s["clusters"], s["kept"]) for s in model_of(spark, sf_dir).merges]
+    """All merges of the parts, cheapest first, and which are kept; the tests hold it against a search of all pairs at every step."""
+    _, steps = refine.merge(parts(spark, sf_dir))
+    rows = [(s["step"], s["left"], s["right"], s["made"].id, s["made"].n, s["cost"], s["index"], s["clusters"], s["kept"]) for s in steps]
     return frame(spark, rows, "step int, left int, right int, made int, n bigint, cost double, ch double, clusters int, kept boolean")
 
 
+@query(f"with p as ({POINTS}), g as (select {SUMS} from p group by {GROUP}) select n, ls0, ls1, ss0, ss1 from g")
+def merged_clusters(spark, sf_dir):
+    """The parts merged: the planted groups again."""
+    got, _ = refine.merge(parts(spark, sf_dir))
+    return frame(spark, [(s.n, *s.ls, *s.ss) for s in got], "n bigint, ls0 bigint, ls1 bigint, ss0 bigint, ss1 bigint")
+
+
+# the group RF thinned out and strewn over its part of the plane
+IS_RF = "l_returnflag || l_linestatus = 'RF'"
+STREWN = f"select l_returnflag, l_linestatus, case when {IS_RF} then cast(350 + l_orderkey * 37 % 390 as int) else x0 end as x0, case when {IS_RF} then cast(5 + l_partkey * 13 % 130 as int) else x1 end as x1 from (select *, {X0} as x0, {X1} as x1 from lineitem) where not ({IS_RF}) or l_orderkey % 200 = 0"
+
+
+@query(f"with p as ({STREWN}), g as (select {GROUP} = 'RF' as is_outlier, {SUMS} from p group by {GROUP}) select n, ls0, ls1, ss0, ss1, is_outlier from g")
+def outlier_blocks(spark, sf_dir):
+    """The outlier rule over the boxes of the groups: the strewn one alone is sparse, in the middle as well."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("*", f"{X0} as x0", f"{X1} as x1").where(f"not ({IS_RF}) or l_orderkey % 200 = 0")
+    rows = rows.selectExpr(f"{GROUP} as grp", f"case when {IS_RF} then cast(350 + l_orderkey * 37 % 390 as int) else x0 end as x0", f"case when {IS_RF} then cast(5 + l_partkey * 13 % 130 as int) else x1 end as x1")
+    bounds = stats.domain(rows, COLS, ["grp"]).join(stats.summaries(rows, COLS, ["grp"]), "grp").orderBy("grp").collect()
+    leaves = [refine.Block(i, refine.Summary(r["n"], (int(r["ls0"]), int(r["ls1"])), (int(r["ss0"]), int(r["ss1"]))), (r["inf0"], r["inf1"]), (r["sup0"], r["sup1"])) for i, r in enumerate(bounds)]
+    Clusterer(COLS).find_outliers(rows, leaves)
+    out = [(b.summary.n, *b.summary.ls, *b.summary.ss, b.is_outlier) for b in leaves]
+    return frame(spark, out, "n bigint, ls0 bigint, ls1 bigint, ss0 bigint, ss1 bigint, is_outlier boolean")
+
+
 @query()
 def run_metrics(spark, sf_dir):
     model = model_of(spark, sf_dir)
@@ -422,3 +491,33 @@ def box_volume(spark, sf_dir):
 def vector_add_square(spark, sf_dir):
     got = geometry.array_add_square(F.array(F.lit(7).cast("bigint"), F.lit(11).cast("bigint")), F.array(F.col("x0").cast("bigint"), F.col("x1").cast("bigint")))
     return planted(spark, sf_dir).select("l_orderkey", "l_linenumber", got.alias("y")).select("l_orderkey", "l_linenumber", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1"))
+
+
+@query(f"""with p as ({POINTS}) select l_orderkey, l_linenumber, 7 + 2 * x0 as a0, 11 + 2 * x1 as a1, 7 + 3 * cast(x0 as bigint) * x0 as q0, 11 + 3 * cast(x1 as bigint) * x1 as q1, 5 * x0 as m0, 5 * x1 as m1,
+  (x0 - 250.0::double) * (x0 - 250.0::double) + (x1 - 120.0::double) * (x1 - 120.0::double) as d from p""".replace("7 + 2 * x0", "cast(7 + 2 * x0 as bigint)").replace("11 + 2 * x1", "cast(11 + 2 * x1 as bigint)").replace("5 * x0", "cast(5 * x0 as bigint)").replace("5 * x1", "cast(5 * x1 as bigint)"))
+def vector_arithmetic(spark, sf_dir):
+    """Weighted add and add-square, multiply, and squared distance."""
+    start, point = F.array(F.lit(7).cast("bigint"), F.lit(11).cast("bigint")), F.array(F.col("x0").cast("bigint"), F.col("x1").cast("bigint"))
+    made = {"a": geometry.array_add(start, point, 2), "q": geometry.array_add_square(start, point, 3), "m": geometry.array_multiply(point, 5)}
+    rows = planted(spark, sf_dir).withColumns({k: v for k, v in made.items()})
+    d = geometry.squared_distance([F.col(c) for c in COLS], [F.lit(250.0), F.lit(120.0)])
+    return rows.select("l_orderkey", "l_linenumber", *[F.col(k)[i].alias(f"{k}{i}") for k in made for i in (0, 1)], d.alias("d"))
+
+
+@query(BOXES + " select grp, " + ", ".join(f"cast(sup{i} - inf{i} + 1 as bigint) as w{i}, (cast(inf{i} as double) + sup{i}) / 2 as c{i}" for i in (0, 1)) + " from b")
+def box_shape(spark, sf_dir):
+    made = [f(F.col(f"inf{i}"), F.col(f"sup{i}")).alias(f"{k}{i}") for i in (0, 1) for f, k in ((geometry.width, "w"), (geometry.middle, "c"))]
+    return boxes(spark, sf_dir).select("grp", *made)
+
+
+@query(BOXES + " select grp, true as held from b")
+def random_inner_point(spark, sf_dir):
+    """A random point of each box: inside it."""
+    lows, highs = [F.col("inf0"), F.col("inf1")], [F.col("sup0"), F.col("sup1")]
+    rows = boxes(spark, sf_dir).withColumns({f"r{i}": c for i, c in enumerate(geometry.random_point(lows, highs))})
+    return rows.select("grp", (F.col("r0").between(F.col("inf0"), F.col("sup0")) & F.col("r1").between(F.col("inf1"), F.col("sup1"))).alias("held"))
+
+
+@query("select cast(trunc(c_acctbal) as int) as x0, c_nationkey as x1, c_custkey from customer")
+def points_of_dataframe(spark, sf_dir):
+    return src.from_dataframe(table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey"]).select("x0", "x1", "c_custkey")

@@ -51,18 +51,52 @@ def inside(cols: Sequence[str], inf: Sequence[int], sup: Sequence[int]) -> Colum
     return reduce(lambda a, b: a & b, [F.col(c).between(int(a), int(b)) for c, a, b in zip(cols, inf, sup)])
 
 
+def holds_box(inf: Sequence[int], sup: Sequence[int], other_inf: Sequence[Column], other_sup: Sequence[Column]) -> Column:
+    """Whether a fixed box holds another one."""
+    return reduce(lambda a, b: a & b, [(F.lit(int(i)) <= x) & (y <= F.lit(int(s))) for i, s, x, y in zip(inf, sup, other_inf, other_sup)])
+
+
+def restricted_bounds(center: Column, inf: Column, sup: Column) -> tuple[Column, Column]:
+    """One dimension of the middle of a box, as ``refine.restricted_box`` has it."""
+    w = F.greatest(F.lit(1), ((sup - inf + 1) * F.lit(0.1) + F.lit(0.5)).cast("int"))
+    return F.greatest(inf, (center - w).cast("int")), F.least(sup, (center + w).cast("int"))
+
+
+def width(inf: Column, sup: Column) -> Column:
+    return sup.cast("bigint") - inf + 1
+
+
+def middle(inf: Column, sup: Column) -> Column:
+    return (inf.cast("double") + sup) / 2
+
+
+def random_point(inf: Sequence[Column], sup: Sequence[Column], seed: int = 42) -> list[Column]:
+    """A point inside each box, every position alike."""
+    return [(i + F.floor(F.rand(seed + k) * width(i, s))).cast("int") for k, (i, s) in enumerate(zip(inf, sup))]
+
+
+def squared_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return total([(x - y) * (x - y) for x, y in zip(a, b)])
+
+
 def euclidean(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    return F.sqrt(total([(x - y) * (x - y) for x, y in zip(a, b)]))
+    return F.sqrt(squared_distance(a, b))
+
+
+def array_add(total_: Column, point: Column, weight: Column | float = 1) -> Column:
+    """Vectors added, the second ``weight`` times."""
+    w = weight if isinstance(weight, Column) else F.lit(weight)
+    return F.zip_with(total_, point, lambda s, x: s + w * x)
 
 
-def array_elliptical(point: Column, center: Column, rho: Column) -> Column:
-    """The same over arrays, zero radii not counted."""
-    parts = F.zip_with(F.zip_with(point, center, lambda p, c: c - p), rho, lambda d, r: F.when(r == 0, F.lit(0.0)).otherwise((d / r) * (d / r)))
-    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+def array_add_square(total_: Column, point: Column, weight: Column | float = 1) -> Column:
+    w = weight if isinstance(weight, Column) else F.lit(weight)
+    return F.zip_with(total_, point, lambda s, x: s + w * x * x)
 
 
-def array_add_square(total_: Column, point: Column) -> Column:
-    return F.zip_with(total_, point, lambda s, x: s + x * x)
+def array_multiply(point: Column, factor: Column | float) -> Column:
+    f = factor if isinstance(factor, Column) else F.lit(factor)
+    return F.transform(point, lambda x: x * f)
 
 
 def box_volume(inf: Sequence[Column], sup: Sequence[Column]) -> Column:

@@ -80,6 +80,17 @@ def jump_index(values: Sequence[float]) -> int:
     return next((i for i, r in enumerate(ratios) if r > limit), len(ratios))
 
 
+def noise_threshold(values: Sequence[float], inf: int = 0, sup: int | None = None) -> float:
+    """The value before the first jump among the sorted values of the slice ``[inf .. sup]`` (all by default)."""
+    part = sorted(values)[inf : None if sup is None else sup + 1]
+    return part[jump_index(part)]
+
+
+def count_order(blocks: Sequence[Block]) -> list[Block]:
+    """Blocks by rising count, then id."""
+    return sorted(blocks, key=lambda b: (b.summary.n, b.id))
+
+
 def restricted_box(block: Block) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """The middle of a block: a tenth of its width to either side of the centroid, one at least."""
     inf, sup = [], []

@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from orogen.functions.geometry import inside
 
 
-def sums(cols: Sequence[str]) -> list[Column]:
-    """Count, sums ``ls*`` and sums of squares ``ss*`` of the coordinates as bigint."""
+def sums(cols: Sequence[str], wide: bool = True) -> list[Column]:
+    """Count, sums ``ls*`` and sums of squares ``ss*`` of the coordinates, as decimal(38,0).
+
+    Without ``wide`` as bigint, which is faster: for callers that know count times largest square to be below 2 ** 63.
+    """
     long = [F.col(c).cast("bigint") for c in cols]
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"ls{i}") for i, x in enumerate(long)], *[F.sum(x * x).alias(f"ss{i}") for i, x in enumerate(long)]]
+    first = [F.sum(whole(x, wide)) for x in long]
+    second = [F.sum(whole(x * x, wide)) for x in long]
+    return [F.count(F.lit(1)).alias("n"), *[whole(x, wide, 38).alias(f"ls{i}") for i, x in enumerate(first)], *[whole(x, wide, 38).alias(f"ss{i}") for i, x in enumerate(second)]]
+
+
+def whole(x: Column, wide: bool, digits: int = 19) -> Column:
+    return x.cast(f"decimal({digits},0)") if wide else x
 
 
 def domain(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -21,21 +30,22 @@ def domain(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFr
     return df.groupBy(*by).agg(*bounds)
 
 
-def summaries(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*sums(cols))
+def summaries(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), wide: bool = True) -> DataFrame:
+    return df.groupBy(*by).agg(*sums(cols, wide))
 
 
 def ssq_columns(dims: int) -> list[Column]:
     """``ssq0 ..`` and ``ssq`` from summary columns."""
-    each = [(F.col("n") * F.col(f"ss{i}") - F.col(f"ls{i}") * F.col(f"ls{i}")).cast("double") / F.col("n") for i in range(dims)]
-    whole = each[0]
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    each = [(exact("n") * exact(f"ss{i}") - exact(f"ls{i}") * exact(f"ls{i}")).cast("double") / F.col("n") for i in range(dims)]
+    total = each[0]
     for x in each[1:]:
-        whole = whole + x
-    return [*[x.alias(f"ssq{i}") for i, x in enumerate(each)], whole.alias("ssq")]
+        total = total + x
+    return [*[x.alias(f"ssq{i}") for i, x in enumerate(each)], total.alias("ssq")]
 
 
-def marginals(df: DataFrame, cols: Sequence[str], block: str | None = None) -> DataFrame:
-    """Sparse marginals: ``block, dim, pos, cnt, s*, q*`` of the occupied positions of every dimension."""
+def marginals(df: DataFrame, cols: Sequence[str], block: str | None = None, wide: bool = False) -> DataFrame:
+    """Sparse marginals: ``block, dim, pos, cnt, s*, q*`` of the occupied positions of every dimension (``wide`` as for ``sums``)."""
     d = len(cols)
     base = [F.col(block).alias("block") if block else F.lit(0).alias("block")]
     rows = df.select(*base, *[F.col(c).cast("int").alias(f"x{i}") for i, c in enumerate(cols)])
@@ -43,7 +53,7 @@ def marginals(df: DataFrame, cols: Sequence[str], block: str | None = None) -> D
     rows = rows.select("block", place, *[f"x{i}" for i in range(d)])
     long = [F.col(f"x{i}").cast("bigint") for i in range(d)]
     return rows.groupBy("block", F.col("p.dim").alias("dim"), F.col("p.pos").alias("pos")).agg(
-        F.count(F.lit(1)).alias("cnt"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(long)], *[F.sum(x * x).alias(f"q{i}") for i, x in enumerate(long)]
+        F.count(F.lit(1)).alias("cnt"), *[F.sum(whole(x, wide)).alias(f"s{i}") for i, x in enumerate(long)], *[F.sum(whole(x * x, wide)).alias(f"q{i}") for i, x in enumerate(long)]
     )
 
 
@@ -60,7 +70,7 @@ def split_candidates(cumulated: DataFrame, dims: int) -> DataFrame:
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
     apart = None
     for i in range(dims):
-        d = F.col(f"l{i}") / n1 - (F.col(f"t{i}") - F.col(f"l{i}")) / n2
+        d = F.col(f"l{i}").cast("double") / n1 - (F.col(f"t{i}") - F.col(f"l{i}")).cast("double") / n2
         apart = d * d if apart is None else apart + d * d
     return cumulated.where(n2 > 0).withColumn("delta", n1.cast("double") * n2.cast("double") / F.col("n") * apart)
 
@@ -74,7 +84,7 @@ def best_splits(candidates: DataFrame, dims: int) -> DataFrame:
 
 
 def marginal_combine(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
-    """Marginals added (or, with ``sign=-1``, taken away); positions that become empty go."""
+    """Marginals added, the second ``sign`` times (-1: taken away); positions that become empty go."""
     keys = ["block", "dim", "pos"]
     values = [c for c in a.columns if c not in keys]
     both = a.select(*keys, *values).union(b.select(*keys, *[(F.col(c) * sign).alias(c) for c in values]))
@@ -92,15 +102,31 @@ def dense_counts(marginal: DataFrame, inf: Column, sup: Column) -> DataFrame:
 
 
 def mobile_average(dense: DataFrame, step: Column) -> DataFrame:
-    """Mean of the counts from ``step`` positions before to ``step - 1`` after, cut at the box.
+    """Mean of the counts from ``step`` positions before to ``step - 1`` after, cut at the box; ``step`` may use the width ``w``.
 
-    The frame's width differs by block, so it is read off prefix sums in one array per block and dimension.
+    The frame's width differs by block, so both ends are looked up in running sums, by joins on the position.
     """
-    a = dense.groupBy("block", "dim").agg(F.array_sort(F.collect_list(F.struct("pos", "cnt"))).alias("a")).withColumn("w", F.size("a")).withColumn("s", step)
-    pre = F.expr("aggregate(a, array(cast(0 as bigint)), (p, x) -> array_append(p, element_at(p, -1) + x.cnt))")
-    a = a.withColumn("p", pre)
-    value = F.expr("transform(a, (x, j) -> struct(x.pos as pos, x.cnt as cnt, cast(p[least(w - 1, j + s - 1) + 1] - p[greatest(0, j - s)] as double) / (least(w - 1, j + s - 1) - greatest(0, j - s) + 1) as avg))")
-    return a.select("block", "dim", F.inline(value))
+    keys = ["block", "dim"]
+    up = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = dense.groupBy(*keys).agg(F.min("pos").alias("a"), F.max("pos").alias("b")).withColumn("w", F.col("b") - F.col("a") + 1).withColumn("s", step)
+    rows = dense.withColumn("p", F.sum("cnt").over(up))
+    framed = rows.drop("p").join(ends, keys).withColumns({"low": F.greatest("a", F.col("pos") - F.col("s")), "high": F.least("b", F.col("pos") + F.col("s") - 1)})
+    top = rows.select(*keys, F.col("pos").alias("high"), F.col("p").alias("p_high"))
+    under = rows.select(*keys, (F.col("pos") + 1).alias("low"), F.col("p").alias("p_low"))
+    got = framed.join(top, [*keys, "high"]).join(under, [*keys, "low"], "left")
+    total = (F.col("p_high") - F.coalesce("p_low", F.lit(0))).cast("double")
+    return got.select(*keys, "pos", "cnt", (total / (F.col("high") - F.col("low") + 1)).alias("avg"))
+
+
+def marginal_slice(marginal: DataFrame, inf: int, sup: int) -> DataFrame:
+    """The positions of a marginal from ``inf`` to ``sup``, both included."""
+    return marginal.where(F.col("pos").between(inf, sup))
+
+
+def marginal_average(marginal: DataFrame) -> DataFrame:
+    """Mean count of the positions of each dimension's box, empty ones included."""
+    wide = F.max("pos").cast("bigint") - F.min("pos") + 1
+    return marginal.groupBy("block", "dim").agg((F.sum("cnt") / wide).alias("average"))
 
 
 def local_extrema(averages: DataFrame) -> DataFrame:

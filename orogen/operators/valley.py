@@ -1,10 +1,11 @@
-"""Valley test on the marginal histograms of one block (pure Python on the driver)."""
+"""Valley test on the marginal histograms of one block: one dimension at a time, in a worker."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 WIDEST = 1 << 26
 
@@ -85,22 +86,37 @@ def one_dimension(counts: np.ndarray, is_root: bool, share: float = 0.10, platea
     return False, True
 
 
-def dense(pairs: Iterable[tuple[int, int]], inf: int, sup: int) -> np.ndarray:
+def dense(pos: np.ndarray, n: np.ndarray, inf: int, sup: int) -> np.ndarray:
     if sup - inf + 1 > WIDEST:
         raise ValueError(f"a box is {sup - inf + 1} wide: read the points at a smaller scale")
     out = np.zeros(sup - inf + 1, np.int64)
-    for pos, cnt in pairs:
-        out[pos - inf] = cnt
+    out[pos - inf] = n
     return out
 
 
-def has_valley(histograms: Sequence[np.ndarray], is_root: bool, share: float = 0.10, mode: str = "first_dim", plateaus: bool = False) -> bool:
-    """Whether a block's histogram falls and rises again by a share of its mean.
+def verdicts(counts: DataFrame, boxes: dict[tuple[int, int], tuple[int, int]], root: int, share: float, plateaus: bool) -> DataFrame:
+    """``block, dim, found, further`` from ``block, dim, pos, n``: a histogram never leaves the task that holds it.
+
+    ``boxes``: least and largest position by block and dimension. A task holds one histogram, of ``WIDEST`` positions at most.
+    """
+
+    def test(key, rows):
+        import pandas as pd
+
+        at = int(key[0]), int(key[1])
+        lo, hi = boxes[at]
+        found, further = one_dimension(dense(rows["pos"].to_numpy(), rows["n"].to_numpy(), lo, hi), at[0] == root, share, plateaus)
+        return pd.DataFrame([(*at, found, further)], columns=["block", "dim", "found", "further"])
+
+    return counts.groupBy("block", "dim").applyInPandas(test, "block int, dim int, found boolean, further boolean")
+
+
+def has_valley(results: Sequence[tuple[bool, bool]], mode: str = "first_dim") -> bool:
+    """Whether a block's histogram falls and rises again by a share of its mean; ``results`` of its dimensions in order.
 
     ``first_dim`` stops at the first dimension that fails early; ``any_dim`` tries all.
     """
-    for counts in histograms:
-        found, further = one_dimension(counts, is_root, share, plateaus)
+    for found, further in results:
         if found:
             return True
         if not further and mode == "first_dim":

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from orogen.functions import exact, geometry
 from orogen.operators import refine, stats, valley
 from orogen.operators.refine import Block, Summary
+from orogen.sources.points import write_labels
 
 
 @dataclass
@@ -86,7 +87,7 @@ class Clusterer:
     """``fit`` finds the number of clusters and their ellipses."""
 
     def __init__(self, cols: Sequence[str], options: Options | None = None):
-        self.cols, self.options = list(cols), options or Options()
+        self.cols, self.options, self.wide = list(cols), options or Options(), True
 
     def fit(self, df: DataFrame) -> Model:
         points = df.select(*[F.col(c).cast("int").alias(c) for c in self.cols])
@@ -109,7 +110,7 @@ class Clusterer:
         blocks, trace, jobs = self.divide(points, root)
         lap("divisive_ms")
         leaves = [b for b in blocks.values() if b.children is None]
-        self.find_outliers(points, blocks, leaves)
+        self.find_outliers(points, leaves)
         refined = self.reassign(points, blocks, leaves)
         lap("intermediate_ms")
         clusters, merges = refine.merge(refined, self.options.merge_ratio)
@@ -127,32 +128,34 @@ class Clusterer:
             raise ValueError("there are no points")
         if any(r[f"null{i}"] for i in range(d)):
             raise ValueError("points have null coordinates")
-        got = lambda k: tuple(r[f"{k}{i}"] for i in range(d))
+        got = lambda k: tuple(int(r[f"{k}{i}"]) for i in range(d))
+        # sums of bigint hold as long as no block's sum of squares can pass 2 ** 63
+        self.wide = r["n"] * max(abs(x) for x in (*got("inf"), *got("sup"))) ** 2 >= 1 << 62
         return Block(0, Summary(r["n"], got("ls"), got("ss")), got("inf"), got("sup"))
 
     def wave(self, points: DataFrame, blocks: dict[int, Block], wanted: Sequence[int]) -> None:
         """Best cuts of the wanted leaves, in one job that returns one row for each."""
         d = len(self.cols)
         rows = points.withColumn("_block", block_column(blocks, self.cols)).where(F.col("_block").isin(list(wanted)))
-        found = stats.best_splits(stats.split_candidates(stats.cumulative(stats.marginals(rows, self.cols, "_block"), d), d), d)
+        found = stats.best_splits(stats.split_candidates(stats.cumulative(stats.marginals(rows, self.cols, "_block", self.wide), d), d), d)
         best = {r["block"]: r.asDict() for r in found.collect()}
         for i in wanted:
             blocks[i].best = best.get(i, {})
 
-    def histograms(self, points: DataFrame, blocks: dict[int, Block], wanted: Sequence[int]) -> None:
-        """Occupied positions and counts of the wanted leaves in every dimension, in one job."""
+    def valleys(self, points: DataFrame, blocks: dict[int, Block], wanted: Sequence[int]) -> None:
+        """Results of the valley test for the wanted leaves in every dimension, in one job that returns only these."""
+        o = self.options
         rows = points.withColumn("_block", block_column(blocks, self.cols)).where(F.col("_block").isin(list(wanted)))
         place = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(c).alias("pos")) for i, c in enumerate(self.cols)])).alias("p")
-        counts = rows.select("_block", place).groupBy("_block", "p.dim", "p.pos").agg(F.count(F.lit(1)).alias("n"))
+        counts = rows.select(F.col("_block").alias("block"), place).groupBy("block", "p.dim", "p.pos").agg(F.count(F.lit(1)).alias("n"))
+        boxes = {(i, d): (lo, hi) for i in wanted for d, (lo, hi) in enumerate(zip(blocks[i].inf, blocks[i].sup))}
         for i in wanted:
-            blocks[i].marks = [[] for _ in self.cols]
-        for r in counts.collect():
-            blocks[r["_block"]].marks[r["dim"]].append((r["pos"], r["n"]))
+            blocks[i].marks = [(False, False)] * len(self.cols)
+        for r in valley.verdicts(counts, boxes, 0, o.valley_share, o.valley_plateaus).collect():
+            blocks[r["block"]].marks[r["dim"]] = (r["found"], r["further"])
 
     def valley(self, blocks: dict[int, Block], at: int) -> bool:
-        b, o = blocks[at], self.options
-        found = (valley.dense(pairs, lo, hi) for pairs, lo, hi in zip(b.marks, b.inf, b.sup))
-        return valley.has_valley(found, at == 0, o.valley_share, o.valley_mode, o.valley_plateaus)
+        return valley.has_valley(blocks[at].marks, self.options.valley_mode)
 
     def divide(self, points: DataFrame, root: Block) -> tuple[dict[int, Block], list[dict], int]:
         blocks, ids, trace, jobs = {0: root}, count(1), [], 0
@@ -172,16 +175,15 @@ class Clusterer:
             accept, by = k > 1 and index >= best, "index"
             if not accept and index >= self.options.split_ratio * best:
                 if b.marks is None:
-                    self.histograms(points, blocks, [i for i in [at, *(x for _, x in queue)] if blocks[i].marks is None])
+                    self.valleys(points, blocks, [i for i in [at, *(x for _, x in queue)] if blocks[i].marks is None])
                     jobs += 1
                 accept, by = self.valley(blocks, at), "valley"
-                b.marks = []
             trace.append({"block": at, "dim": cut["dim"], "pos": cut["pos"], "n1": cut["n1"], "delta": cut["delta"], "index": index, "accepted": accept, "by": by if accept else "none"})
             if not accept:
                 continue
             k, best, within, between = k + 1, max(best, index), within - cut["delta"], between + cut["delta"]
             d = len(self.cols)
-            left = Summary(cut["n1"], tuple(cut[f"l{i}"] for i in range(d)), tuple(cut[f"r{i}"] for i in range(d)))
+            left = Summary(cut["n1"], tuple(int(cut[f"l{i}"]) for i in range(d)), tuple(int(cut[f"r{i}"]) for i in range(d)))
             right = b.summary.minus(left)
             i, j = next(ids), next(ids)
             dim, pos = cut["dim"], cut["pos"]
@@ -194,16 +196,17 @@ class Clusterer:
                     heapq.heappush(queue, (-blocks[x].summary.ssq, x))
         return blocks, trace, jobs
 
-    def find_outliers(self, points: DataFrame, blocks: dict[int, Block], leaves: list[Block]) -> None:
+    def find_outliers(self, points: DataFrame, leaves: list[Block]) -> None:
         ranked = sorted(leaves, key=lambda b: b.log_density)
         limit = ranked[refine.jump_index([b.density for b in ranked])].density
         candidates = [b for b in leaves if b.density <= limit]
         boxes = {b.id: refine.restricted_box(b) for b in candidates}
-        rows = points.withColumn("_block", block_column(blocks, self.cols))
-        held = [F.sum(F.when((F.col("_block") == i) & geometry.inside(self.cols, *box), 1).otherwise(0)).alias(f"n{i}") for i, box in boxes.items()]
-        counts = rows.agg(*held).first()
+        # a middle lies inside its block, so it tells the block as well
+        middle = F.coalesce(*[F.when(geometry.inside(self.cols, *box), F.lit(i)) for i, box in boxes.items()])
+        held = points.select(middle.alias("block")).where("block is not null").groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["block"]: r["n"] for r in held.collect()}
         for b in candidates:
-            n, box = counts[f"n{b.id}"], boxes[b.id]
+            n, box = counts.get(b.id, 0), boxes[b.id]
             b.is_outlier = n < self.options.least_restricted or n / exact.volume(*box) < 2 * b.density
 
     def assign(self, points: DataFrame, blocks: dict[int, Block], leaves: list[Block], label: str = "_cluster") -> DataFrame:
@@ -220,15 +223,22 @@ class Clusterer:
     def reassign(self, points: DataFrame, blocks: dict[int, Block], leaves: list[Block]) -> list[Summary]:
         d = len(self.cols)
         rows = self.assign(points, blocks, leaves).where("_cluster is not null")
-        got = [Summary(r["n"], tuple(r[f"ls{i}"] for i in range(d)), tuple(r[f"ss{i}"] for i in range(d))) for r in stats.summaries(rows, self.cols, ["_cluster"]).collect()]
+        got = [Summary(r["n"], tuple(int(r[f"ls{i}"]) for i in range(d)), tuple(int(r[f"ss{i}"]) for i in range(d))) for r in stats.summaries(rows, self.cols, ["_cluster"]).collect()]
         got.sort(key=lambda s: s.centroid)
         for i, s in enumerate(got):
             s.id = i
         return got
 
 
-def fit(df: DataFrame, cols: Sequence[str], **options) -> Model:
-    return Clusterer(cols, Options(**options)).fit(df)
+def fit(df: DataFrame, cols: Sequence[str], labels: str | None = None, report: bool = False, **options) -> Model:
+    """The fitted model; with ``labels``, label lines of ``df`` are written there, with ``report`` the metrics are printed."""
+    model = Clusterer(cols, Options(**options)).fit(df)
+    if labels:
+        write_labels(model.transform(df.select(*cols)), cols, labels)
+    if report:
+        for k, v in model.metrics.items():
+            print(f"{k}: {v}")
+    return model
 
 
 def fit_predict(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:

@@ -47,7 +47,11 @@ def from_dataframe(df: DataFrame, feature_cols: Sequence[str], scale: float | No
 
 def label_lines(labelled: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:
     """One line per point: its coordinates and its label, separated by spaces."""
-    return labelled.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in cols], F.col(label).cast("string")).alias("value"))
+    return labelled.select(label_line(cols, label).alias("value"))
+
+
+def label_line(cols: Sequence[str], label: str = "label") -> Column:
+    return F.concat_ws(" ", *[F.col(c).cast("string") for c in cols], F.col(label).cast("string"))
 
 
 def write_labels(labelled: DataFrame, cols: Sequence[str], path: str, label: str = "label") -> None:

@@ -33,7 +33,21 @@ def test_query_equals_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, SF).columns
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_trace_starts_with_the_best_split_and_accepts_five(spark):
+    trace = catalog.QUERIES["divisive_trace"](spark, SF).orderBy("step").collect()
+    best = catalog.QUERIES["best_split"](spark, SF).first()
+    assert (trace[0]["dim"], trace[0]["pos"], trace[0]["n1"], trace[0]["by"]) == (best["dim"], best["pos"], best["n1"], "valley")
+    assert sum(t["accepted"] for t in trace) == 5 and all(t["accepted"] == (t["by"] != "none") for t in trace)
+
+
+def test_a_broken_subpackage_leaves_the_other_queries(spark, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # importing it raises ImportError
+    assert set(__spark_entry__.queries()) == set(catalog.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalog.ORACLES)
 
 
 def test_six_planted_groups(spark):

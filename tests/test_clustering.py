@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from orogen.functions import exact
 from orogen.operators import refine, stats, valley
 from orogen.operators.refine import Summary
-from orogen.plans.clustering import fit
+from orogen.plans.clustering import Clusterer, fit
 from orogen.streaming.scoring import label_stream
 
 
@@ -78,6 +79,54 @@ def test_large_coordinates_do_not_overflow(spark):
     assert got["ss0"] == 20 * 50_000**2
 
 
+def test_full_range_coordinates_are_exact(spark):
+    rows = [(2**31 - 1, -(2**31)), (-(2**31), 2**31 - 1), (2**31 - 1, 2**31 - 1)] * 3
+    got = stats.summaries(frame(spark, rows), ["x0", "x1"]).first()
+    want = summary(rows)
+    assert (got["n"], got["ls0"], got["ss0"], got["ss1"]) == (9, want.ls[0], want.ss[0], want.ss[1])
+    model = fit(frame(spark, [(x // 64, y // 64) for x, y in rows]), ["x0", "x1"])
+    assert sum(b.summary.n for b in model.leaves) == 9 and all(isinstance(v, int) for b in model.leaves for v in b.summary.ss)
+
+
+def test_wide_sums_split_like_narrow_ones(spark):
+    df = frame(spark, blobs(n=60))
+    a, b = (stats.best_splits(stats.split_candidates(stats.cumulative(stats.marginals(df, ["x0", "x1"], wide=w), 2), 2), 2).first() for w in (False, True))
+    assert [float(x) for x in a] == [float(x) for x in b]
+
+
+def test_squared_deviations_of_a_billion_points(spark):
+    n, m = 10**9, 2**31 - 1
+    df = spark.createDataFrame([(n, n // 2, Decimal(n * (m // 4) ** 2))], "n bigint, ls0 bigint, ss0 decimal(38,0)")
+    got = df.select(*stats.ssq_columns(1)).first()["ssq"]
+    assert math.isclose(got, (n * n * (m // 4) ** 2 - (n // 2) ** 2) / n, rel_tol=1e-15)
+
+
+def test_wide_histograms_stay_in_the_workers(spark):
+    # 10 million positions: humps at both ends
+    rows = spark.range(400_000).selectExpr("cast(pmod(xxhash64(id), 3000000) + case when id % 2 = 0 then 0 else 7000000 end as int) as x0")
+    work = Clusterer(["x0"])
+    root = work.root(rows)
+    blocks = {0: root}
+    work.valleys(rows, blocks, [0])
+    counts = np.zeros(root.sup[0] - root.inf[0] + 1, np.int64)
+    for r in rows.groupBy("x0").count().toPandas().itertuples():
+        counts[r.x0 - root.inf[0]] = r.count if isinstance(r.count, int) else r[2]
+    assert blocks[0].marks == [valley.one_dimension(counts, True)]
+
+
+def test_fit_writes_labels_and_reports(spark, tmp_path, capsys):
+    df = frame(spark, blobs(n=100))
+    model = fit(df, ["x0", "x1"], labels=str(tmp_path / "labels"), report=True)
+    assert spark.read.text(str(tmp_path / "labels")).count() == 300
+    assert f"clusters: {model.number_of_clusters}" in capsys.readouterr().out
+
+
+def test_outlier_rule():
+    dense = refine.Block(1, summary([(x, y) for x in range(20) for y in range(20)]), (0, 0), (19, 19))
+    assert refine.restricted_box(dense) == ((7, 7), (11, 11))
+    assert [b.id for b in refine.count_order([dense, refine.Block(0, summary([(1, 1)]), (0, 0), (1, 1))])] == [0, 1]
+
+
 def test_no_points_and_null_points_raise(spark):
     with pytest.raises(ValueError):
         fit(spark.createDataFrame([], "x0 int"), ["x0"])
@@ -88,12 +137,14 @@ def test_no_points_and_null_points_raise(spark):
 def test_valley_and_wide_gap():
     x = np.arange(200)
     humps = np.rint(1000 * np.exp(-(((x - 50.3) / 15) ** 2)) + 830 * np.exp(-(((x - 110.8) / 17) ** 2))).astype(int)
-    assert valley.has_valley([humps], True)
-    assert not valley.has_valley([np.ones(39, int)], True)
+    assert valley.one_dimension(humps, True)[0]
+    assert not valley.one_dimension(np.ones(39, int), True)[0]
     apart = np.zeros(400, int)
     apart[20:60], apart[340:380] = 50, 50
-    assert not valley.has_valley([apart], True)  # strict minima: a wide empty gap is flat
-    assert valley.has_valley([apart], True, plateaus=True)
+    assert not valley.one_dimension(apart, True)[0]  # strict minima: a wide empty gap is flat
+    assert valley.one_dimension(apart, True, plateaus=True)[0]
+    assert valley.has_valley([(False, True), (True, False)]) and not valley.has_valley([(False, False), (True, False)])
+    assert valley.has_valley([(False, False), (True, False)], "any_dim")
 
 
 def test_moving_average_is_its_definition():
@@ -103,6 +154,37 @@ def test_moving_average_is_its_definition():
     assert np.allclose(valley.moving_average(c, s), want)
 
 
+def test_merging_equals_a_search_of_all_pairs():
+    r = np.random.default_rng(2)
+    for trial in range(12):
+        centres = r.integers(0, 900, (4, 2))
+        parts = [summary(np.rint(r.normal(centres[i % 4], 25, (40, 2))).astype(int).tolist(), i) for i in range(11)]
+        live, n, k = list(parts), 440, 11
+        within = sum(s.ssq for s in parts)
+        whole = parts[0]
+        for s in parts[1:]:
+            whole = whole.plus(s)
+        highest = best = exact.calinski_harabasz(whole.ssq - within, within, n, k)
+        states, made, want = [list(live)], 11, list(live)
+        while k > 2:
+            pairs = sorted((refine.merge_cost(a, b), a.id, b.id) for i, a in enumerate(live) for b in live[i + 1 :] if refine.admissible(a, b))
+            if not pairs:
+                break
+            cost, i, j = pairs[0]
+            index = exact.calinski_harabasz(whole.ssq - within - cost, within + cost, n, k - 1)
+            if not index > 0.9 * highest:
+                break
+            a, b = (next(s for s in live if s.id == x) for x in (i, j))
+            live = [s for s in live if s.id not in (i, j)] + [a.plus(b, made)]
+            made, k, within, highest = made + 1, k - 1, within + cost, max(highest, index)
+            states.append(list(live))
+            if index > best:
+                best, want = index, list(live)
+        got, steps = refine.merge(parts)
+        assert len(steps) == len(states) - 1 > 0
+        assert sorted((s.n, s.ls, s.ss) for s in got) == sorted((s.n, s.ls, s.ss) for s in want)
+
+
 def test_merging_counts_every_point_once():
     r = np.random.default_rng(2)
     parts = [summary(np.rint(r.normal(c, 30, (50, 2))).astype(int).tolist(), i) for i, c in enumerate(((0, 0), (10, 5), (20, 0), (900, 900), (910, 905)))]
