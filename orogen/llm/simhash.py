@@ -9,11 +9,17 @@ fingerprint is a home row at one anchor of each block and a guest row at every a
 within 4 (five others at most), and at each anchor home rows are compared with all rows on the
 full 64 bits. No pair within the threshold can be missed.
 
-Equal fingerprints are one row before anything is replicated. There are at most 3 * 4,096
-anchors; their home rows are counted, and where an anchor has more than ``slice_rows`` its
-home rows are split into slices that meet all guests (the count table is broadcast, bounded by
-the number of anchors). A slice streams its guests in blocks and emits a spanning forest of the links it finds, never
-all pairs. Components come from ``shared.components``.
+Those 3 * 4,096 anchors are the same for any input, so their rows grow with it. From ``PAIR_FROM`` distinct
+fingerprints on anchors are taken over two blocks at once: 3 * 4,096 * 4,096. Of at most 4 differing bits, some two blocks, in
+the order 1-2, 2-3 or 3-1, hold one of the splits in ``SPLITS``; a split of (i, j) bits needs guests within 3 + i of the
+first block's word and 3 + j of the second's. Both ways find every pair; the second replicates a
+fingerprint to some 134 anchors and not 16, the first compares each with ever more others.
+
+Equal fingerprints are one row before anything is replicated. Home rows of the anchors are counted,
+and where an anchor has more than ``slice_rows`` its home rows are split into slices that meet all guests (the
+count table of single blocks is broadcast, bounded by the number of anchors; that of two blocks never by a hint). A slice
+streams its guests in blocks and emits a spanning forest of the links it finds, never all pairs. Components come from
+``shared.components``.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like
 any other; fewer words than a shingle: the whole sequence is one shingle; repeated rows have
@@ -39,6 +45,11 @@ BLOCKS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b101011100011  # fixed value: generator polynomial of the Golay code
 GOLAY_BITS = 23
 
+#: Distinct fingerprints from which anchors over two blocks cost less than those over one.
+PAIR_FROM = 1 << 24
+#: Differing bits in the first and second block of a pair that its guests allow for.
+SPLITS = ((0, 0), (0, 1), (1, 0), (1, 1), (2, 0))
+
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """64-bit SimHash over word shingles, repeats included."""
@@ -79,24 +90,45 @@ def syndrome(points: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def coset_table() -> np.ndarray:
-    """For each of 2,048 syndromes: its error patterns of weight 4 at most, lightest first, -1 filled."""
-    patterns = [sum(1 << b for b in c) for w in range(5) for c in combinations(range(GOLAY_BITS), w)]
+def coset_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each of 2,048 syndromes its error patterns of weight 5 at most, lightest first, and how far each goes beyond weight 3.
+
+    Rows are filled up with patterns that go too far for any use. Exactly one pattern is within weight 3.
+    """
+    patterns = [sum(1 << b for b in c) for w in range(6) for c in combinations(range(GOLAY_BITS), w)]
     rows: list[list[int]] = [[] for _ in range(2048)]
     for p, s in zip(patterns, syndrome(np.array(patterns)).tolist()):
         rows[s].append(p)
     width = max(map(len, rows))
-    return np.array([r + [-1] * (width - len(r)) for r in rows], np.int64)
+    errors = np.array([r + [-1] * (width - len(r)) for r in rows], np.int64)
+    return errors, np.where(errors < 0, 99, np.maximum(np.bitwise_count(errors).astype(np.int64) - 3, 0))
+
+
+def words_within(fps: np.ndarray, block: int, beyond: int) -> np.ndarray:
+    """Code words that lie ``beyond`` bits (0: none) outside the covering radius of a block of ``fps``, a row each, -1 filled."""
+    low, bits = BLOCKS[block]
+    points = (fps >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
+    errors, over = coset_table()
+    at = syndrome(points)
+    use = np.flatnonzero((over == beyond).any(axis=0))
+    return np.where(over[at][:, use] == beyond, points[:, None] ^ errors[at][:, use], -1)
 
 
-def anchor_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchor_rows(fps: np.ndarray, paired: bool = False, home_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, fingerprint and home flag of every row that ``fps`` (uint64) is replicated to."""
-    table, out = coset_table(), []
-    for number, (low, bits) in enumerate(BLOCKS):
-        points = (fps >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
-        errors = table[syndrome(points)]
-        at, column = np.nonzero(errors >= 0)
-        out.append((number << GOLAY_BITS | points[at] ^ errors[at, column], fps[at], column == 0))
+    near = [[words_within(fps, b, beyond) for beyond in range(1 if home_only else 3 if paired else 2)] for b in range(len(BLOCKS))]
+    out = []
+    for number in range(len(BLOCKS)):
+        second = near[(number + 1) % len(BLOCKS)]
+        for i, j in SPLITS if paired else ((0, 0), (1, 0)):
+            if home_only and i + j:
+                continue
+            anchor = near[number][i]
+            if paired:
+                both = (anchor[:, :, None] << GOLAY_BITS | second[j][:, None, :]).reshape(len(fps), -1)
+                anchor = np.where(((anchor[:, :, None] < 0) | (second[j][:, None, :] < 0)).reshape(both.shape), -1, both)
+            at, column = np.nonzero(anchor >= 0)
+            out.append((number << 2 * GOLAY_BITS | anchor[at, column], fps[at], np.full(len(at), i + j == 0)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -127,7 +159,7 @@ def compare_at_anchors(rows: DataFrame, threshold: int, block: int = 2048) -> Da
 
         def meet():
             mine = np.concatenate(homes) if homes else np.zeros(0, np.uint64)
-            others = np.concatenate(guests) if guests else np.zeros(0, np.uint64)
+            others = np.concatenate(guests) if len(mine) else mine
             for low in range(0, len(mine), block):
                 x = mine[low : low + block]
                 for at in range(0, len(others), block):
@@ -163,20 +195,27 @@ def compare_at_anchors(rows: DataFrame, threshold: int, block: int = 2048) -> Da
     return arrow_map(rows, run, "a bigint, b bigint")
 
 
-def links(fps: DataFrame, threshold: int = 4, slice_rows: int = 8192) -> DataFrame:
-    """Links between the distinct fingerprints ``fp`` that differ in at most ``threshold`` (0 to 5) bits."""
-    if not 0 <= threshold <= 5:
-        raise ValueError("threshold: 0 to 5, so that one of three blocks differs in at most one bit")
+def links(fps: DataFrame, threshold: int = 4, slice_rows: int = 8192, paired: bool = False) -> DataFrame:
+    """Links between the distinct fingerprints ``fp`` that differ in at most ``threshold`` bits: 0 to 5, or 4 if ``paired``."""
+    if not 0 <= threshold <= (4 if paired else 5):
+        raise ValueError("threshold: 0 to 5, so that one of three blocks differs in at most one bit; 0 to 4 for pairs of blocks")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchor, fp, home = anchor_rows(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(home), pa.array(fp.view(np.int64))], names=["anchor", "home", "fp"])
+    def spread(home_only: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for low in range(0, whole.num_rows, 2048):
+                    anchor, fp, home = anchor_rows(whole.column(0).slice(low, 2048).to_numpy().view(np.uint64), paired, home_only)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(home), pa.array(fp.view(np.int64))], names=["anchor", "home", "fp"])
+
+        return arrow_map(fps.select("fp"), run, "anchor bigint, home boolean, fp bigint")
 
-    rows = arrow_map(fps.select("fp"), spread, "anchor bigint, home boolean, fp bigint")
-    sizes = rows.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    slices = F.ceil(F.col("n") / slice_rows).cast("int")
-    rows = rows.join(F.broadcast(sizes.select("anchor", slices.alias("slices"))), "anchor")
+    sizes = spread(home_only=True).groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+    rows = spread(home_only=False)
+    if paired:
+        hot = materialise(sizes.where("slices > 1"), "simhash-hot")
+        rows = rows.join(hot, "anchor", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    else:
+        rows = rows.join(F.broadcast(sizes), "anchor")
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     part = F.when(F.col("slices") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("slices") - 1))
     rows = rows.select("anchor", F.explode(part).alias("part"), "home", "fp", own.alias("own"))
@@ -185,11 +224,16 @@ def links(fps: DataFrame, threshold: int = 4, slice_rows: int = 8192) -> DataFra
     return compare_at_anchors(rows, threshold)
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; ``component_id`` is the smallest reachable ``doc_id``."""
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, threshold: int = 4, paired: bool | None = None) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row; ``component_id`` is the smallest reachable ``doc_id``.
+
+    ``paired`` takes anchors over two blocks; None decides by the number of distinct fingerprints. The links are the same.
+    """
     prints = materialise(fingerprints(df, id_col, text_col, words, seed), "simhash-prints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
-    roots = components(links(classes, threshold), "simhash-components")
+    if paired is None:
+        paired = threshold <= 4 and classes.count() >= PAIR_FROM
+    roots = components(links(classes, threshold, paired=paired), "simhash-components")
     joined = classes.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     label = materialise(joined.join(lowest, "root").select("fp", "component_id"), "simhash-labels")

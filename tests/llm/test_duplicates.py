@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -165,22 +166,44 @@ def brute_fingerprint(text):
 
 
 def test_golay_code_is_perfect():
-    table = simhash.coset_table()
+    table, over = simhash.coset_table()
     light = np.bitwise_count(table[:, 0])
     assert (table[:, 0] >= 0).all() and light.max() == 3 and len(set(table[:, 0].tolist())) == 2048
-
-
-@pytest.mark.parametrize("slice_rows", [8192, 20])
-def test_simhash_links_equal_brute_force(spark, slice_rows):
+    assert ((over == 0).sum(axis=1) == 1).all() and (over[:, 0] == 0).all()
+
+
+@pytest.mark.parametrize("paired, most", [(False, 5), (True, 4)])
+def test_home_anchor_of_one_is_among_those_of_the_other(paired, most):
+    """Whatever way the differing bits fall on the three blocks."""
+    r = np.random.default_rng(4)
+    for split in product(range(most + 1), repeat=3):
+        if not 0 < sum(split) <= most:
+            continue
+        a = r.integers(0, 1 << 64, 40, dtype=np.uint64)
+        b = a.copy()
+        for i in range(len(b)):
+            for n, (low, bits) in zip(split, simhash.BLOCKS):
+                for at in r.choice(bits, n, replace=False):
+                    b[i] ^= np.uint64(1 << (low + int(at)))
+        places = [{}, {}]
+        for fps, place, home_only in ((a, places[0], True), (b, places[1], False)):
+            for anchor, fp, _ in zip(*(x.tolist() for x in simhash.anchor_rows(fps, paired, home_only))):
+                place.setdefault(fp, set()).add(anchor)
+        assert all(places[0][int(x)] & places[1][int(y)] for x, y in zip(a, b)), split
+
+
+@pytest.mark.parametrize("slice_rows, paired", [(8192, False), (20, False), (8192, True), (20, True)])
+def test_simhash_links_equal_brute_force(spark, slice_rows, paired):
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 120, dtype=np.uint64)
     near = [int(x) ^ sum(1 << int(b) for b in r.choice(64, k, replace=False)) for x in base for k in (0, 1, 2, 3, 4, 5)]
-    fps = sorted(set(near) | {(1 << i) - 1 for i in range(0, 60, 3)} | {0, (1 << 64) - 1})
+    one_place = {int(base[0]) & ((1 << 46) - 1) | int(x) << 46 for x in r.integers(0, 1 << 18, 150)}
+    fps = sorted(set(near) | one_place | {(1 << i) - 1 for i in range(0, 60, 3)} | {0, (1 << 64) - 1})
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp bigint")
     pairs = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
     want = roots(len(fps), pairs)
     at = {int(np.uint64(x).view(np.int64)): i for i, x in enumerate(fps)}
-    found = [(at[x["a"]], at[x["b"]]) for x in simhash.links(df, slice_rows=slice_rows).collect()]
+    found = [(at[x["a"]], at[x["b"]]) for x in simhash.links(df, slice_rows=slice_rows, paired=paired).collect()]
     assert roots(len(fps), found) == want
     assert len(found) < 6 * len(fps) * (1 if slice_rows > 100 else 8)
 
@@ -197,6 +220,9 @@ def test_simhash_documents(spark, odd, none):
     expected = sorted(((r["doc_id"], fp, low.get(root)) for r, fp, root in zip(rows, fps, want)), key=repr)
     got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_groups(docs).collect()), key=repr)
     assert got == expected and simhash.near_groups(none).count() == 0
+    two_blocks = simhash.near_groups(docs, paired=True)
+    assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in two_blocks.collect()), key=repr) == expected
+    assert simhash.near_groups(none, paired=True).count() == 0
 
 
 @pytest.mark.parametrize("slice_rows, kind", [(4096, "double"), (8, "double"), (4096, "float")])
