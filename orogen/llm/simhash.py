@@ -172,10 +172,15 @@ def compare_at_anchors(rows: DataFrame, threshold: int, block: int = 2048) -> Da
             guests.clear()
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             anchor, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             home, fp = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy().view(np.uint64)
             edge = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
-            for low, high in zip([0, *edge.tolist()], [*edge.tolist(), len(anchor)]):
+            start, end = np.concatenate(([0], edge)), np.concatenate((edge, [len(anchor)]))
+            use = home[start]  # a place that begins with a guest has no home rows
+            use[0] = True  # but the first may go on from the batch before
+            for low, high in zip(start[use].tolist(), end[use].tolist()):
                 if (anchor[low], part[low]) != key:
                     meet()
                     homes.clear()
