@@ -5,7 +5,7 @@ takes its closest signed axis; ``k`` such axes name a bucket of one table. Each
 home bucket in every table and visits the next likely ones (multiprobe). ``k`` grows with
 the logarithm of the number of vectors, so that buckets keep their size; it can be given as well.
 
-Equal vectors are one row first, with their count. In a bucket, home rows are compared with
+Equal vectors are one row first, with their count and a number of its own (``rid``). In a bucket, home rows are compared with
 all rows by matrix products in double precision; every pair with cosine at or over the
 threshold is a link, and pairs below it never are. A pair that meets in several buckets
 counts in the first only, which both rows can tell from their bucket lists, so that link
@@ -19,7 +19,7 @@ from there buckets grow, and slices keep them in bounds).
 
 Cases: vectors that are null, zero, empty or hold null or non-finite components link with
 nothing; vectors of different lengths do not link; rows that repeat a ``vec_id`` with one
-vector count as copies of each other; rows of null ``vec_id`` are returned and linked to nothing; an empty
+vector count as copies of each other, those with different vectors as different vectors; rows of null ``vec_id`` are returned and linked to nothing; an empty
 table gives an empty table; other input columns are not read.
 """
 
@@ -202,8 +202,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     kind, vec_type = ("<f4", "array<float>") if single else ("<f8", "array<double>")
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(vec_type).alias("vec"))
     sound = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    classes = rows.where(F.coalesce(sound, F.lit(False))).groupBy("vec").agg(F.min("vec_id").alias("rid"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(classes, "vectors-classes")
+    classes = rows.where(F.coalesce(sound, F.lit(False))).groupBy("vec").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    classes = materialise(classes.withColumn("rid", F.monotonically_increasing_id()), "vectors-classes")
     if k is None:
         k = min(5, max(1, math.ceil(math.log(max(classes.count(), 2) / 128) / math.log(128))))
     tables, probes = TABLES[k], PROBES[k]
@@ -224,8 +224,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     discard(codes, hot)
     counts = found.groupBy("rid").agg(F.sum("add").alias("more"))
     roots = components(found.where("rid <> other").select(F.col("rid").alias("a"), F.col("other").alias("b")), "vectors-components")
-    label = classes.select("rid", "n", "vec").join(counts, "rid", "left").join(roots.select(F.col("v").alias("rid"), F.col("root")), "rid", "left")
-    label = materialise(label.select("vec", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "rid").alias("component_id")), "vectors-labels")
+    named = roots.select(F.col("v").alias("rid"), "root").join(classes.select("rid", "low"), "rid")
+    named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("rid", "component_id")
+    label = classes.join(counts, "rid", "left").join(named, "rid", "left")
+    label = materialise(label.select("vec", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "low").alias("component_id")), "vectors-labels")
     alone = F.col("vec_id").isNull()
     out = rows.join(label, "vec", "left").select(
         "vec_id",

@@ -273,6 +273,14 @@ def test_vectors_of_extreme_norms(spark):
     assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
 
 
+def test_vectors_that_share_an_id(spark):
+    """Each vector under a repeated id has its own links; a component is named after its smallest id."""
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.01]), (3, [1.0, 0.0, 0.02]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.01, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in vectors.near_vectors(df).collect())
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
 def test_hadamard_is_orthonormal():
     h = vectors.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))
