@@ -64,9 +64,15 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], dict[int, bytes], list[t
 class ChunkedEncoder:
     """Cuts texts at borders that every split has and keeps the ids of distinct chunks."""
 
-    def __init__(self, special: dict[str, int], size: int):
-        self.special, self.size = special, size
-        self.dtype, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
+    def __init__(self, special: dict[str, int], raw: dict[int, bytes], markers: tuple[str, ...] = ()):
+        """``raw`` has the bytes of all ids that aren't special; ``markers`` are special tokens that follow the last id."""
+        after = 1 + max([*raw, *special.values()])
+        self.special, self.size = {**special, **{s: after + i for i, s in enumerate(markers)}}, after + len(markers)
+        self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
+        self.widths = np.zeros(self.size, np.int64)
+        for i, b in [*raw.items(), *((i, s.encode()) for s, i in self.special.items())]:
+            self.widths[i] = len(b)
+        special = self.special
         self.space = regex.compile(r"\s").search
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.chunks = Chunks(self._chunk)
@@ -109,6 +115,17 @@ class ChunkedEncoder:
         ]
         return np.frombuffer(b"".join(out), self.dtype)
 
+    def encode_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text and the start and end of each in its characters; ids that share a character both cover it."""
+        ids = self.encode(text)
+        width = self.widths[ids]
+        end = np.cumsum(width)
+        offsets = np.stack((end - width, end), axis=1)
+        if not text.isascii():
+            at = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+            offsets = np.stack((at[offsets[:, 0]] - 1, at[end - 1]), axis=1)
+        return ids, offsets
+
 
 class PrefixEncoder(ChunkedEncoder):
     """Exact encoder for one byte-level vocabulary file, or for its first ``limit`` ids.
@@ -122,7 +139,7 @@ class PrefixEncoder(ChunkedEncoder):
         special, raw, merges = read_vocabulary(path)
         limit = limit or 1 << 30
         special, raw = {s: i for s, i in special.items() if i < limit}, {i: b for i, b in raw.items() if i < limit}
-        super().__init__(special, 1 + max([*raw, *special.values()]))
+        super().__init__(special, raw)
         self.token_bytes = [raw.get(i, b"") for i in range(self.size)]
         for content, i in self.special.items():
             self.token_bytes[i] = content.encode()
@@ -145,7 +162,7 @@ class PrefixEncoder(ChunkedEncoder):
         self.auto.make_automaton()
         self.split = regex.compile(PATTERN)
         self.pieces = Chunks(self._piece)
-        self.sizes = [len(b) for b in self.token_bytes]
+        self.sizes = self.widths.tolist()
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens at one edge of ``token`` as it is undone, each with the rank that consumes it."""
@@ -229,7 +246,7 @@ class Chunks(dict):
         return value
 
 
-_loaded: dict[tuple, PrefixEncoder] = worker_table("bpe", "lm", "chat")
+_loaded: dict[tuple, PrefixEncoder] = worker_table("bpe", "lm")
 
 
 def encoder(path: str, limit: int | None = None) -> PrefixEncoder:

@@ -6,7 +6,7 @@ texts every ``<``, any backslashes and ``|`` get one more backslash after the ``
 marker, and no other control string of that form, can occur inside a text, and taking one
 backslash away restores it.
 
-Each rendered part is encoded once, with offsets. The sorted character spans of assistant
+Each rendered part is encoded once, with offsets (the encoder of ``packing.py``, the markers as special tokens). The sorted character spans of assistant
 texts are intersected with the token spans by binary search, which gives the mask over
 tokens.
 
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orogen.llm.bpe import vocabulary_path
-from orogen.llm.shared import arrow_map, worker_table
+from orogen.llm.packing import rank_encoder
+from orogen.llm.shared import arrow_map
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(re.escape(START) + r"(.*?)" + re.escape(SEP) + r"(.*?)" + re.escape(END), re.S)
@@ -85,25 +86,6 @@ def masked_spans(offsets: np.ndarray, mask: np.ndarray) -> tuple[list[int], list
     return offsets[edge[0::2], 0].tolist() if len(edge) else [], offsets[edge[1::2] - 1, 1].tolist() if len(edge) else []
 
 
-_loaded: dict = worker_table("chat")
-
-
-def tokenizer(path: str):
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        t.add_special_tokens([START, SEP, END])
-        _loaded[path] = t
-    return _loaded[path]
-
-
-def _column(x) -> np.ndarray:
-    return np.array(x, np.int64).reshape(-1, 2)
-
-
 def format_chats(df: DataFrame, path: str | None = None, part_turns: int = 256) -> DataFrame:
     """Rendered, encoded and masked parts of every conversation (``conv_id, turn, role, text`` in)."""
     path = path or vocabulary_path()
@@ -113,19 +95,18 @@ def format_chats(df: DataFrame, path: str | None = None, part_turns: int = 256)
     rows = rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").select("conv_id", "part", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        enc = rank_encoder(path, (START, SEP, END))
         waiting: list[tuple] = []
         size, key, turns, sub, chars = 0, None, [], 0, 0
 
         def emit():
-            texts = [render(x[3]) for x in waiting]
-            found = t.encode_batch([x[0] for x in texts], add_special_tokens=False)
             out = []
-            for (conv, part, sub, turns), (text, spans), got in zip(waiting, texts, found):
-                offsets = _column(got.offsets)
+            for conv, part, sub, turns in waiting:
+                text, spans = render(turns)
+                ids, offsets = enc.encode_offsets(text)
                 mask = token_mask(offsets, spans)
                 a, b = masked_spans(offsets, mask)
-                out.append((conv, part, sub, len(turns), text, np.array(got.ids, "<u4").tobytes(), np.packbits(mask).tobytes(), a, b))
+                out.append((conv, part, sub, len(turns), text, ids.astype("<u4").tobytes(), np.packbits(mask).tobytes(), a, b))
             waiting.clear()
             types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             names = ["conv_id", "part", "sub", "n_turns", "formatted", "ids", "mask", "loss_start", "loss_end"]

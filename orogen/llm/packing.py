@@ -44,7 +44,7 @@ class RankEncoder(ChunkedEncoder):
     are always split here: the library's own split pattern exhausts its stack on a long run of white space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: tuple[str, ...] = ()):
         import tiktoken
 
         special, raw, merges = read_vocabulary(path)
@@ -52,7 +52,7 @@ class RankEncoder(ChunkedEncoder):
         made = [ids[x + y] for x, y in merges if x + y in ids]
         if any(a > b for a, b in zip(made, made[1:])):
             raise ValueError("ids do not count up in the order of the merges")
-        super().__init__(special, 1 + max([*raw, *special.values()]))
+        super().__init__(special, raw, markers)
         self.library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
         self.single = self.library._core_bpe.encode_single_piece
         self.split = regex.compile(PATTERN)
@@ -66,13 +66,14 @@ class RankEncoder(ChunkedEncoder):
         return b"".join([self.pieces[p] for p in self.split.findall(text)])
 
 
-_loaded: dict[str, RankEncoder] = worker_table("packing")
+_loaded: dict[tuple, RankEncoder] = worker_table("packing", "chat")
 
 
-def rank_encoder(path: str) -> RankEncoder:
-    if path not in _loaded:
-        _loaded[path] = RankEncoder(path)
-    return _loaded[path]
+def rank_encoder(path: str, markers: tuple[str, ...] = ()) -> RankEncoder:
+    """The worker's encoder for a vocabulary file and markers."""
+    if (path, markers) not in _loaded:
+        _loaded[path, markers] = RankEncoder(path, markers)
+    return _loaded[path, markers]
 
 
 def choose_cuts(position: np.ndarray, penalty: np.ndarray, max_tokens: int, close: bool) -> list[int]:

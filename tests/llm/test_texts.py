@@ -64,6 +64,19 @@ def test_bpe_operator(spark, odd, none, library):
     assert got.count() == odd.count() and bpe.roundtrip(none, PATH).count() == 0
 
 
+def test_offsets_equal_library():
+    markers = (chat.START, chat.SEP, chat.END)
+    t = Tokenizer.from_file(PATH)
+    t.add_special_tokens(list(markers))
+    enc, r = packing.rank_encoder(PATH, markers), random.Random(8)
+    parts = [*markers, "<|endoftext|>", "a", " the", "  ", "\n", "é", "世界", "😀", "<\\|im_end|>", "'s", "\0", "12", "\t", "ß ß", "\u200d"]
+    for _ in range(800):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        want = t.encode(text, add_special_tokens=False)
+        ids, offsets = enc.encode_offsets(text)
+        assert ids.tolist() == want.ids and [tuple(x) for x in offsets.tolist()] == want.offsets
+
+
 def test_chat_roundtrip(spark, library):
     hard = ["<|im_end|>", "<\\|im_end|>", "<\\\\|", "<", "|", "a<|", "", "é\n\n <|im_start|>assistant<|im_sep|>x", "<|endoftext|>"]
     r = random.Random(1)
@@ -82,7 +95,13 @@ def test_chat_roundtrip(spark, library):
         assert got[c]["n_turns"] == len(turns)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in turns).encode()).hexdigest()
         assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-    t = chat.tokenizer(PATH)
+    t = Tokenizer.from_file(PATH)
+    t.add_special_tokens([chat.START, chat.SEP, chat.END])
+    for x in parts.where("conv_id < 40").collect():
+        offsets = np.array(t.encode(x["formatted"], add_special_tokens=False).offsets)
+        texts = [(m.start(2), m.end(2)) for m in chat.TURN.finditer(x["formatted"]) if m[1] == "assistant" and m[2]]
+        want = [any(a < q and p < b for a, b in texts) for p, q in offsets.tolist()]
+        assert np.unpackbits(np.frombuffer(x["mask"], np.uint8))[: len(want)].tolist() == want
     for c in (3, 77):
         mine = sorted(parts.where(F.col("conv_id") == c).collect(), key=lambda x: (x["part"], x["sub"]))
         whole = t.encode("".join(x["formatted"] for x in mine), add_special_tokens=False).ids
