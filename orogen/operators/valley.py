@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+#: Occupied positions of one block in one dimension that a task takes, at most.
 WIDEST = 1 << 26
 
 
@@ -20,7 +22,6 @@ def moving_average(counts: np.ndarray, step: int) -> np.ndarray:
 
 def turning_points(m: np.ndarray, least_high: float, most_low: float) -> list[tuple[int, bool]]:
     """Maxima and minima in turn, a maximum first: the lower of minima and the higher of maxima in a row."""
-    n = len(m)
     found: list[tuple[int, bool]] = []
 
     def put(j: int, is_max: bool) -> None:
@@ -30,18 +31,17 @@ def turning_points(m: np.ndarray, least_high: float, most_low: float) -> list[tu
         elif found or is_max:
             found.append((j, is_max))
 
-    if n > 1 and m[0] > m[1] and m[0] >= least_high:
-        put(0, True)
-    for j in range(1, n - 1):
-        if m[j] < m[j - 1] and m[j] < m[j + 1] and m[j] <= most_low:
-            put(j, False)
-        elif m[j] > m[j - 1] and m[j] > m[j + 1] and m[j] >= least_high:
-            put(j, True)
-    if n > 1:
-        if m[-1] < m[-2] and m[-1] <= most_low:
-            put(n - 1, False)
-        elif m[-1] > m[-2] and m[-1] >= least_high:
-            put(n - 1, True)
+    if len(m) > 1:
+        # beyond the ends lies nothing: one neighbour decides there, and the first value may be a maximum only
+        rise = np.sign(np.diff(m))
+        before, after = np.concatenate(([1], rise)), np.concatenate((rise, [0]))
+        before_low = np.concatenate(([0], rise))
+        after_high, after_low = after.copy(), after.copy()
+        after_high[-1], after_low[-1] = -1, 1
+        high = (before > 0) & (after_high < 0) & (m >= least_high)
+        low = (before_low < 0) & (after_low > 0) & (m <= most_low)
+        for j in np.flatnonzero(high | low).tolist():
+            put(j, bool(high[j]))
     return found
 
 
@@ -50,16 +50,54 @@ def squeeze_plateaus(m: np.ndarray) -> np.ndarray:
     return m[np.concatenate(([True], m[1:] != m[:-1]))]
 
 
+def harmonic(n: np.ndarray) -> np.ndarray:
+    """1 + 1/2 + .. + 1/n of each n >= 0 (from 64 on by the asymptotic series, to double precision)."""
+    table = np.concatenate(([0.0], np.cumsum(1 / np.arange(1, 64))))
+    x = np.maximum(n, 64).astype(np.float64)
+    series = np.log(x) + np.euler_gamma + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+    return np.where(n < 64, table[np.minimum(n, 63)], series)
+
+
+def bends(pos: np.ndarray, n: np.ndarray, width: int, step: int) -> tuple[np.ndarray, float]:
+    """The moving average where it can turn, in order, and its mean over all positions.
+
+    Between two positions at which a point enters or leaves the window the average has one numerator; its
+    denominator is constant, or moves one way within ``step`` of an edge. So each such stretch is constant or strictly
+    monotone, and its first and last values show every strict turn and the largest value. ``pos`` (sorted, from 0) are the
+    occupied positions, so memory goes with these and not with the width.
+    """
+    total = np.concatenate(([0], np.cumsum(n)))
+    starts = np.concatenate(([0, step, width - step + 1], pos - step + 1, pos + step + 1))
+    starts = np.unique(starts[(starts >= 0) & (starts < width)])
+    lasts = np.concatenate((starts[1:] - 1, [width - 1]))
+
+    def window(j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.maximum(0, j - step), np.minimum(width - 1, j + step - 1)
+        return total[np.searchsorted(pos, high, "right")] - total[np.searchsorted(pos, low, "left")], high - low + 1
+
+    inside, first = window(starts)
+    final = window(lasts)[1]
+    least, most = np.minimum(first, final), np.maximum(first, final)
+    inverse = np.where(first == final, (lasts - starts + 1) / first, harmonic(most) - harmonic(least - 1))
+    at = np.unique(np.concatenate((starts, lasts)))
+    held, size = window(at)
+    return held / size, math.fsum((inside * inverse).tolist()) / width
+
+
 def one_dimension(counts: np.ndarray, is_root: bool, share: float = 0.10, plateaus: bool = False) -> tuple[bool, bool]:
-    """(valley found, worth looking at further dimensions)."""
-    w = len(counts)
+    """``occupied`` of a whole histogram."""
+    pos = np.flatnonzero(counts)
+    return occupied(pos, counts[pos], len(counts), is_root, share, plateaus)
+
+
+def occupied(pos: np.ndarray, n: np.ndarray, w: int, is_root: bool, share: float = 0.10, plateaus: bool = False) -> tuple[bool, bool]:
+    """(valley found, worth looking at further dimensions) of the sorted occupied positions in a box of width ``w``."""
     step = w // 20
     if step < 2:
         return False, False
-    m = moving_average(counts, step)
-    average = float(m.mean())
+    m, average = bends(pos, n, w, step)
     gap = max(1.0, average * share)
-    if not is_root and float(m.max()) < counts.sum() / w:
+    if not is_root and float(m.max()) < n.sum() / w:
         return False, False
     least_high, most_low = share * average, float(m.max()) - share * average
     points = turning_points(squeeze_plateaus(m) if plateaus else m, least_high, most_low)
@@ -86,18 +124,10 @@ def one_dimension(counts: np.ndarray, is_root: bool, share: float = 0.10, platea
     return False, True
 
 
-def dense(pos: np.ndarray, n: np.ndarray, inf: int, sup: int) -> np.ndarray:
-    if sup - inf + 1 > WIDEST:
-        raise ValueError(f"a box is {sup - inf + 1} wide: read the points at a smaller scale")
-    out = np.zeros(sup - inf + 1, np.int64)
-    out[pos - inf] = n
-    return out
-
-
 def verdicts(counts: DataFrame, boxes: dict[tuple[int, int], tuple[int, int]], root: int, share: float, plateaus: bool) -> DataFrame:
     """``block, dim, found, further`` from ``block, dim, pos, n``: a histogram never leaves the task that holds it.
 
-    ``boxes``: least and largest position by block and dimension. A task holds one histogram, of ``WIDEST`` positions at most.
+    ``boxes``: least and largest position by block and dimension. A task holds the occupied positions of one histogram, ``WIDEST`` at most.
     """
 
     def test(key, rows):
@@ -105,7 +135,10 @@ def verdicts(counts: DataFrame, boxes: dict[tuple[int, int], tuple[int, int]], r
 
         at = int(key[0]), int(key[1])
         lo, hi = boxes[at]
-        found, further = one_dimension(dense(rows["pos"].to_numpy(), rows["n"].to_numpy(), lo, hi), at[0] == root, share, plateaus)
+        if len(rows) > WIDEST:
+            raise ValueError(f"{len(rows)} positions are occupied in one dimension: read the points at a smaller scale")
+        rows = rows.sort_values("pos")
+        found, further = occupied(rows["pos"].to_numpy().astype(np.int64) - lo, rows["n"].to_numpy(), hi - lo + 1, at[0] == root, share, plateaus)
         return pd.DataFrame([(*at, found, further)], columns=["block", "dim", "found", "further"])
 
     return counts.groupBy("block", "dim").applyInPandas(test, "block int, dim int, found boolean, further boolean")

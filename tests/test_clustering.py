@@ -134,6 +134,26 @@ def test_no_points_and_null_points_raise(spark):
         fit(spark.createDataFrame([(1,), (None,)], "x0 int"), ["x0"])
 
 
+def test_bends_tell_what_the_whole_average_tells():
+    r = np.random.default_rng(5)
+    for k in range(300):
+        w = int(r.integers(40, 400))
+        counts = r.integers(0, 4, w) if k % 3 == 0 else (r.random(w) < 0.05) * r.integers(1, 30, w) if k % 3 == 1 else np.repeat(r.integers(0, 5, w // 7 + 1), 7)[:w]
+        counts[[0, -1]] += 1
+        whole, pos = valley.moving_average(counts, w // 20), np.flatnonzero(counts)
+        some, mean = valley.bends(pos, counts[pos], w, w // 20)
+        assert math.isclose(mean, whole.mean(), rel_tol=1e-9) and some.max() == whole.max()
+        for share in (0.1, 0.3):
+            limits = share * whole.mean(), whole.max() - share * whole.mean()
+            got, want = ([(m[j], high) for j, high in valley.turning_points(m, *limits)] for m in (some, whole))
+            assert got == want
+
+
+def test_valley_of_a_box_as_wide_as_an_int():
+    humps = np.concatenate((np.arange(1000) * 400_000, 2**32 - 1 - np.arange(1000)[::-1] * 400_000))
+    assert valley.occupied(humps, np.full(2000, 2**40), 2**32, True, plateaus=True)[0]
+
+
 def test_valley_and_wide_gap():
     x = np.arange(200)
     humps = np.rint(1000 * np.exp(-(((x - 50.3) / 15) ** 2)) + 830 * np.exp(-(((x - 110.8) / 17) ** 2))).astype(int)
