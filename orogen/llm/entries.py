@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, chat, exact, langid, licenses, lines, lm, packing, simhash, vectors
+from orogen.llm import bpe, chat, divergence, exact, langid, licenses, lines, lm, packing, simhash, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_licenses, op4_bpe, op5_packing, op6_exact_dedup, op7_line_dedup, op8_near_vectors, op9_simhash, op10_language_id)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_licenses, op4_bpe, op5_packing, op6_exact_dedup, op7_line_dedup, op8_near_vectors, op9_simhash, op10_language_id, op11_source_divergence)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -94,4 +98,20 @@ m as (select k.*, coalesce(k.doc_id <> f.lo, false) as gone from k left join f o
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from m group by doc_id""",
+    "op11_source_divergence": f"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select rid, lang, source, unnest(regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct rid) as docs from t group by all),
+k as (select lang, term, sum(n) as n from c group by all having sum(docs) >= 30),
+w as (select lang, count(*) as v, sum(n) as total from k group by lang),
+s as (select lang, source, sum(c.n) as total from c semi join k using (lang, term) group by all),
+g as (select lang, source, coalesce(s.total, 0) as total, coalesce(w.v, 0) as v from (select distinct lang, source from d) left join s using (lang, source) left join w using (lang)),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::hugeint) // (g.total + 5 * g.v) as p,
+  1 + (1000000000 * (k.n + 5)::hugeint) // (w.total + 5 * w.v) as q
+  from g join k using (lang) join w using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from o)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50""",
 }
