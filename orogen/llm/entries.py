@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orogen.llm import bpe, chat, divergence, exact, langid, licenses, lines, lm, packing, simhash, vectors
+from orogen.llm import bpe, chat, divergence, exact, langid, licenses, lines, lm, mixing, packing, simhash, vectors, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_licenses, op4_bpe, op5_packing, op6_exact_dedup, op7_line_dedup, op8_near_vectors, op9_simhash, op10_language_id, op11_source_divergence)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    # null where the exact number holds in no bigint
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_score, op3_licenses, op4_bpe, op5_packing, op6_exact_dedup, op7_line_dedup, op8_near_vectors, op9_simhash, op10_language_id, op11_source_divergence, op12_whitening, op13_mixing)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,4 +124,17 @@ o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.valu
   union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
 r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from o)
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50""",
+    "op13_mixing": r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, substr(md5('13|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as h from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as turn from d group by source),
+w as (select *, case turn % 3 when 0 then 5 when 1 then 2 else 1 end as weight, cast(sum(source_size) over () as bigint) as whole from s),
+b as (select *, coalesce(sum(3 * source_size) over before, 0) as stopped, sum(weight) over () - coalesce(sum(weight) over before, 0) as open from w
+  window before as (order by source_size * (10 // weight), turn rows between unbounded preceding and 1 preceding)),
+f as (select *, (whole - stopped) * weight > 3 * source_size * open as stops from b),
+t as (select source, source_size, case when stops then cast(3 * source_size as double)
+  else cast(weight * (whole - coalesce(sum(3 * source_size) filter (stops) over (), 0)) as double) / sum(weight) filter (not stops) over () end as target from f),
+o as (select d.*, t.source_size, t.target, cast(floor(t.target + 0.5) as bigint) as goal,
+  sum(size) over (partition by d.source order by h, d.doc_id, size rows between unbounded preceding and current row) - size as start
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target, cast(greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)) + greatest(0, least(size, goal - start - 2 * source_size)) as bigint) as taken from o""",
 }
