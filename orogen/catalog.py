@@ -8,13 +8,12 @@ answer from the groups, while the engine has to find them.
 from __future__ import annotations
 
 from itertools import combinations
-from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orogen.functions import exact, geometry
-from orogen.operators import refine, stats
+from orogen.operators import refine, stats, valley
 from orogen.plans.clustering import Clusterer, Model, block_column, fit
 from orogen.sources import points as src
 
@@ -196,7 +195,7 @@ def reachability(spark, sf_dir):
     blocks, names = [], {}
     for i, r in enumerate(boxes(spark, sf_dir).collect()):
         names[i] = r["grp"]
-        blocks.append(refine.Block(i, refine.Summary(r["n"], (r["ls0"], r["ls1"]), (r["ss0"], r["ss1"])), (r["inf0"], r["inf1"]), (r["sup0"], r["sup1"])))
+        blocks.append(block_of(r, i))
     reach = refine.reachability(blocks)
     return frame(spark, [(names[i], names[j]) for i, s in reach.items() for j in s], "block string, cluster string")
 
@@ -286,27 +285,25 @@ def block_density(spark, sf_dir):
 t as (select coalesce(avg(v) + stddev_pop(v), 0) as lim from o)
 select round(lim, 6) as lim, (select density from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold from t""")
 def density_threshold(spark, sf_dir):
-    d = sorted(r["density"] for r in restricted(spark, sf_dir).select("density").collect())
-    v = [b / a for a, b in zip(d, d[1:])]
-    return frame(spark, [(round(fmean(v) + pstdev(v), 6) if v else 0.0, d[refine.jump_index(d)])], "lim double, threshold double")
+    return stats.jump_threshold(restricted(spark, sf_dir), "density").select(F.round("lim", 6).alias("lim"), "threshold")
 
 
 @query("""with c as (select p_size, count(*) as n from part group by 1), o as (select n, lead(n) over (order by n, p_size) / cast(n as double) as v, row_number() over (order by n, p_size) as k from c),
 t as (select avg(v) + stddev_pop(v) as lim from o)
 select (select n from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold""")
 def noise_threshold(spark, sf_dir):
-    return frame(spark, [(refine.noise_threshold(size_counts(spark, sf_dir)),)], "threshold bigint")
+    return stats.jump_threshold(size_counts(spark, sf_dir), "n").select("threshold")
 
 
 def size_counts(spark, sf_dir):
-    return [r["n"] for r in table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).collect()]
+    return table(spark, sf_dir, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""with c as (select p_size, count(*) as n from part group by 1), e as (select n, row_number() over (order by n, p_size) - 1 as i from c), s as (select * from e where i between 5 and 30),
 o as (select n, lead(n) over (order by i) / cast(n as double) as v, row_number() over (order by i) as k from s), t as (select avg(v) + stddev_pop(v) as lim from o)
 select (select n from o where k = coalesce((select min(k) from o, t where v > lim), (select max(k) from o))) as threshold""")
 def noise_threshold_slice(spark, sf_dir):
-    return frame(spark, [(refine.noise_threshold(size_counts(spark, sf_dir), 5, 30),)], "threshold bigint")
+    return stats.jump_threshold(size_counts(spark, sf_dir), "n", 5, 30).select("threshold")
 
 
 @query(RESTRICTED + f""", h as (select r.grp, count(*) as held from r join p on {GROUP.replace("l_", "p.l_")} = r.grp and x0 between a0 and b0 and x1 between a1 and b1 group by 1)
@@ -354,8 +351,11 @@ def split_candidates(spark, sf_dir):
 
 @query(f"with {CANDIDATES.replace(STATUS, '0')} select dim, pos, n1, delta from d order by delta desc, dim desc, pos limit 1")
 def best_split(spark, sf_dir):
-    m = stats.marginals(planted(spark, sf_dir), COLS)
-    return stats.best_splits(stats.split_candidates(stats.cumulative(m, 2), 2), 2).select("dim", "pos", "n1", "delta")
+    """As ``fit`` seeks it: only in ranges of positions that can hold the best cut."""
+    rows = planted(spark, sf_dir)
+    root = Clusterer(COLS).root(rows)
+    found = stats.bounded_splits(stats.marginals(rows, COLS), 2, root.inf, stats.part_shifts(root.inf, root.sup))
+    return found.select("dim", "pos", "n1", "delta")
 
 
 AVERAGE = f"""{MARGINALS}, e as (select block, dim, min(pos) as lo, max(pos) as hi from m group by 1, 2), g as (select block, dim, lo, hi, unnest(generate_series(lo, hi)) as pos from e),
@@ -363,42 +363,108 @@ v as (select g.block, g.dim, g.pos, hi - lo + 1 as w, (hi - lo + 1) // 20 as s,
 a as (select a.block, a.dim, a.pos, a.cnt, cast(sum(b.cnt) as double) / count(*) as avg from v a join v b on a.block = b.block and a.dim = b.dim and b.j between greatest(0, a.j - a.s) and least(a.w - 1, a.j + a.s - 1) group by 1, 2, 3, 4)"""
 
 
-def averages(spark, sf_dir):
-    dense = stats.dense_counts(two_blocks(spark, sf_dir), F.min("pos"), F.max("pos"))
-    return stats.mobile_average(dense, F.floor(F.col("w") / 20).cast("int"))
+def stretches(spark, sf_dir):
+    """As the valley test of ``fit`` works: where the window of each histogram holds the same points."""
+    m = two_blocks(spark, sf_dir)
+    boxes = m.groupBy("block", "dim").agg(F.min("pos").cast("bigint").alias("low"), (F.max("pos") - F.min("pos") + 1).cast("bigint").alias("width"), F.sum("cnt").alias("n"), F.lit(False).alias("is_root"))
+    return m, valley.stretches(m.select("block", "dim", "pos", F.col("cnt").alias("n")), boxes)
 
 
 @query(f"with {AVERAGE} select block, dim, cast(pos as int) as pos, cnt, avg from a")
 def mobile_average(spark, sf_dir):
-    return averages(spark, sf_dir)
+    m, rows = stretches(spark, sf_dir)
+    keys = ["block", "dim", "pos"]
+    return valley.moving_average(rows).join(m.select(*keys, "cnt"), keys, "left").select(*keys, F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"), "avg")
 
 
 @query(f"""with {AVERAGE}, x as (select *, lag(avg) over (partition by block, dim order by pos) as before, lead(avg) over (partition by block, dim order by pos) as after from a)
 select block, dim, cast(pos as int) as pos, avg, avg > before and avg > after as is_max from x where (avg > before and avg > after) or (avg < before and avg < after)""")
 def local_extrema(spark, sf_dir):
-    return stats.local_extrema(averages(spark, sf_dir))
+    return valley.local_extrema(stretches(spark, sf_dir)[1])
+
+
+NUMBER = "cast(1 + case l_returnflag when 'A' then 0 when 'N' then 2 else 4 end + case l_linestatus when 'F' then 0 else 1 end as int)"
+# the whole is block 0; beyond the ends of a histogram lies nothing, so one neighbour decides there
+VALLEY = f"""with p as ({POINTS}), q as (select 0 as block, x0, x1 from p union all select {NUMBER}, x0, x1 from p),
+m as (select block, 0 as dim, x0 as pos, count(*) as cnt from q group by all union all select block, 1, x1, count(*) from q group by all),
+e as (select block, dim, min(pos) as lo, max(pos) as hi, sum(cnt) as n from m group by 1, 2), g as (select block, dim, lo, hi, unnest(generate_series(lo, hi)) as pos from e),
+v as (select g.block, g.dim, hi - lo + 1 as w, (hi - lo + 1) // 20 as s, pos - lo as j, coalesce(m.cnt, 0) as cnt from g left join m using (block, dim, pos)),
+a as (select a.block, a.dim, a.j, cast(sum(b.cnt) as double) / count(*) as m from v a join v b on a.block = b.block and a.dim = b.dim and b.j between greatest(0, a.j - a.s) and least(a.w - 1, a.j + a.s - 1) group by 1, 2, 3),
+t as (select a.block, a.dim, 0.1 * avg(m) as share, max(m) as top, any_value(e.block > 0 and (select max(m) from a b where b.block = e.block and b.dim = e.dim) < e.n / (hi - lo + 1) or (hi - lo + 1) // 20 < 2) as flat from a join e using (block, dim) group by 1, 2),
+x as (select *, lag(m) over o as before, lead(m) over o as after from a window o as (partition by block, dim order by j)),
+c as (select x.*, greatest(1, share) as gap, flat, (before is null or m > before) and (after is null or m > after) and m >= share as high, m < before and (after is null or m < after) and m <= top - share as low from x join t using (block, dim)),
+r as (select *, max(m) filter (high) over (partition by block, dim order by j rows between unbounded preceding and 1 preceding) as l, max(m) filter (high) over (partition by block, dim order by j rows between 1 following and unbounded following) as r from c),
+d as (select block, dim, not any_value(flat) and coalesce(bool_or(low and m <= l - gap and r >= m + gap), false) as found, not any_value(flat) and coalesce(bool_or(low and m <= l - gap), false) and coalesce(bool_or(low and l is not null and r is not null), false) as falls from r group by 1, 2)
+select cast(e.n as bigint) as n, a.found or (a.falls and b.found) as valley from d a join d b on a.block = b.block and a.dim = 0 and b.dim = 1 join e on e.block = a.block and e.dim = 0"""
 
 
-@query(f"with p as ({POINTS}), g as (select count(*) as n from p group by {GROUP}) select n, false as valley from g union all select count(*), true from p")
+@query(VALLEY)
 def valley_flag(spark, sf_dir):
-    """Whether each leaf's and the root's histogram has a valley: the whole has, a planted group has none."""
-    model, rows = model_of(spark, sf_dir), planted(spark, sf_dir)
-    work, out = Clusterer(COLS, model.options), []
-    root = refine.Block(0, model.blocks[0].summary, model.blocks[0].inf, model.blocks[0].sup)
-    for tree in ({0: root}, model.blocks):
-        leaves = [b.id for b in tree.values() if b.children is None]
-        work.valleys(rows, tree, leaves)
-        out += [(tree[i].summary.n, work.valley(tree, i)) for i in leaves]
-    return frame(spark, out, "n bigint, valley boolean")
+    """Whether the histograms of the whole and of each planted group (in its own box) have a valley."""
+    rows = planted(spark, sf_dir).withColumn("block", F.explode(F.array(F.lit(0), F.expr(NUMBER))))
+    bounds = stats.domain(rows, COLS, ["block"]).join(stats.summaries(rows, COLS, ["block"]), "block").collect()
+    tree = {r["block"]: block_of(r, r["block"]) for r in bounds}
+    work = Clusterer(COLS)
+    work.valleys(stats.marginals(rows, COLS, "block"), tree, list(tree))
+    return frame(spark, [(b.summary.n, work.valley(tree, i)) for i, b in tree.items()], "n bigint, valley boolean")
 
 
-# --- divisive, agglomerative, whole runs -------------------------------------------------
+def block_of(r, i: int) -> refine.Block:
+    """A block from a row of bounds and sums."""
+    return refine.Block(i, refine.Summary(r["n"], (int(r["ls0"]), int(r["ls1"])), (int(r["ss0"]), int(r["ss1"]))), (r["inf0"], r["inf1"]), (r["sup0"], r["sup1"]))
 
 
-@query()
+# --- divisive, agglomerative, whole runs -------------------------------------------------
+
+def _dev(i: int | None = None) -> str:
+    """SQL for the sum of squared deviations of one dimension or both, from exact sums."""
+    square, sums = (f"ss{i}", f"ls{i}::hugeint * ls{i}") if i is not None else ("(ss0 + ss1)", "ls0::hugeint * ls0 - ls1::hugeint * ls1")
+    return f"(cast(n::hugeint * {square} - {sums} as double) / n)"
+
+
+_UP_DIM, _ALL_DIM = _UP.replace("block, ", ""), _ALL.replace("block, ", "")
+# one turn of the recursion takes the open block of largest deviation: its cut, its valley test, and either two new blocks or a leaf
+TRACE = f"""with recursive p as (select x0, x1 from ({POINTS})),
+z as (select count(*) as n, sum(x0) as ls0, sum(x1) as ls1, sum(x0 * x0) as ss0, sum(x1 * x1) as ss1, min(x0) as lo0, max(x0) as hi0, min(x1) as lo1, max(x1) as hi1 from p),
+r as (
+  select 0 as step, 0 as id, lo0, hi0, lo1, hi1, cast(n as bigint) as n, {_dev()} as ssq, true as is_open, 1 as k, 0.0::double as best, {_dev()} as within, 0.0::double as between_, cast(n as bigint) as big_n, 1 as next_id,
+    0 as block, 0 as dim, 0 as pos, 0::bigint as n1, 0.0::double as delta, 0.0::double as ch, false as accepted, '' as by_ from z
+  union all
+  select step, u.id, u.lo0, u.hi0, u.lo1, u.hi1, u.n, u.ssq, u.is_open, k, best, within, between_, big_n, next_id, block, dim, pos, n1, delta, ch, accepted, by_ from (
+    with b as (select * from r where is_open order by ssq desc, id limit 1),
+    o as (select p.x0, p.x1 from p, b where p.x0 between lo0 and hi0 and p.x1 between lo1 and hi1),
+    m as (select 0 as dim, x0 as pos, count(*) as cnt, sum(x0) as s0, sum(x1) as s1, sum(x0 * x0) as q0, sum(x1 * x1) as q1 from o group by x0 union all select 1, x1, count(*), sum(x0), sum(x1), sum(x0 * x0), sum(x1 * x1) from o group by x1),
+    c as (select dim, pos, cast(sum(cnt) {_UP_DIM} as bigint) as n1, cast(sum(s0) {_UP_DIM} as bigint) as l0, cast(sum(s1) {_UP_DIM} as bigint) as l1, cast(sum(q0) {_UP_DIM} as bigint) as r0, cast(sum(q1) {_UP_DIM} as bigint) as r1,
+      cast(sum(cnt) {_ALL_DIM} as bigint) as n, cast(sum(s0) {_ALL_DIM} as bigint) as t0, cast(sum(s1) {_ALL_DIM} as bigint) as t1, cast(sum(q0) {_ALL_DIM} as bigint) as u0, cast(sum(q1) {_ALL_DIM} as bigint) as u1 from m),
+    d as (select *, cast(n1 as double) * cast(n - n1 as double) / n * ({_D.format(0)} * {_D.format(0)} + {_D.format(1)} * {_D.format(1)}) as delta from c where n > n1 order by delta desc, dim desc, pos limit 1),
+    e as (select 0 as dim, lo0 as lo, hi0 as hi from b union all select 1, lo1, hi1 from b),
+    g as (select dim, lo, hi, unnest(generate_series(lo, hi)) as pos from e),
+    v as (select g.dim, hi - lo + 1 as w, (hi - lo + 1) // 20 as s, g.pos - lo as j, coalesce(m.cnt, 0) as cnt from g left join m on g.dim = m.dim and g.pos = m.pos),
+    a as (select a.dim, a.j, a.w, a.s, cast(sum(b.cnt) as double) / count(*) as m from v a join v b on a.dim = b.dim and b.j between greatest(0, a.j - a.s) and least(a.w - 1, a.j + a.s - 1) group by all),
+    t as (select dim, 0.1 * avg(m) as share, max(m) as top, any_value(s) < 2 or (select id > 0 from b) and max(m) < (select n from b) / any_value(w) as flat from a group by dim),
+    x as (select *, lag(m) over (partition by dim order by j) as before, lead(m) over (partition by dim order by j) as after from a),
+    h as (select x.dim, j, m, greatest(1, share) as gap, flat, (before is null or m > before) and (after is null or m > after) and m >= share as high, m < before and (after is null or m < after) and m <= top - share as low from x join t using (dim)),
+    y as (select *, max(m) filter (high) over (partition by dim order by j rows between unbounded preceding and 1 preceding) as l, max(m) filter (high) over (partition by dim order by j rows between 1 following and unbounded following) as r from h),
+    f as (select dim, not any_value(flat) and coalesce(bool_or(low and m <= l - gap and r >= m + gap), false) as found, not any_value(flat) and coalesce(bool_or(low and m <= l - gap), false) and coalesce(bool_or(low and l is not null and r is not null), false) as falls from y group by dim),
+    w as (select bool_or(dim = 0 and found) or (bool_or(dim = 0 and falls) and bool_or(dim = 1 and found)) as valley from f),
+    i as (select b.*, d.dim as cut_dim, d.pos as cut_pos, d.n1 as cut_n1, d.delta as gain, l0, l1, r0, r1, t0, t1, u0, u1, (between_ + d.delta) * (big_n - (k + 1)) / ((within - d.delta) * k) as index_ from b, d),
+    k2 as (select i.*, k > 1 and index_ >= best as by_index, index_ >= 0.7 * best and (select valley from w) as by_valley from i),
+    j as (select *, by_index or by_valley as ok, case when by_index then 'index' when by_valley then 'valley' else 'none' end as how,
+      (cast(cut_n1::hugeint * (r0 + r1) - l0::hugeint * l0 - l1::hugeint * l1 as double) / cut_n1) as left_ssq,
+      (cast((n - cut_n1)::hugeint * (u0 - r0 + u1 - r1) - (t0 - l0)::hugeint * (t0 - l0) - (t1 - l1)::hugeint * (t1 - l1) as double) / (n - cut_n1)) as right_ssq from k2)
+    select j.step + 1 as step, u, case when ok then j.k + 1 else j.k end as k, case when ok then greatest(j.best, index_) else j.best end as best, case when ok then j.within - gain else j.within end as within, case when ok then j.between_ + gain else j.between_ end as between_,
+      j.big_n, case when ok then j.next_id + 2 else j.next_id end as next_id, j.id as block, cut_dim as dim, cut_pos as pos, cut_n1 as n1, gain as delta, index_ as ch, ok as accepted, how as by_
+    from j, (select r.id as old, {{'id': r.id, 'lo0': r.lo0, 'hi0': r.hi0, 'lo1': r.lo1, 'hi1': r.hi1, 'n': r.n, 'ssq': r.ssq, 'is_open': r.is_open and (ok or r.id <> j.id)}} as u from r, j where not ok or r.id <> j.id
+      union all select -1, {{'id': next_id, 'lo0': lo0, 'hi0': if(cut_dim = 0, cut_pos, hi0), 'lo1': lo1, 'hi1': if(cut_dim = 1, cut_pos, hi1), 'n': cut_n1, 'ssq': left_ssq, 'is_open': left_ssq > 0}} from j where ok
+      union all select -1, {{'id': next_id + 1, 'lo0': if(cut_dim = 0, cut_pos + 1, lo0), 'hi0': hi0, 'lo1': if(cut_dim = 1, cut_pos + 1, lo1), 'hi1': hi1, 'n': n - cut_n1, 'ssq': right_ssq, 'is_open': right_ssq > 0}} from j where ok) l))
+select distinct cast(step - 1 as int) as step, cast(block as int) as block, cast(dim as int) as dim, cast(pos as int) as pos, n1, round(delta, 3) as delta, round(ch, 3) as ch, accepted, by_ as reason from r where step > 0"""
+
+
+@query(TRACE)
 def divisive_trace(spark, sf_dir):
-    rows = [(i, t["block"], t["dim"], t["pos"], t["n1"], t["delta"], t["index"], t["accepted"], t["by"]) for i, t in enumerate(model_of(spark, sf_dir).trace)]
-    return frame(spark, rows, "step int, block int, dim int, pos int, n1 bigint, delta double, ch double, accepted boolean, by string")
+    """Every block as the best-first queue gave it out, its best cut, and whether and why it was cut."""
+    rows = [(i, t["block"], t["dim"], t["pos"], t["n1"], round(t["delta"], 3), round(t["index"], 3), t["accepted"], t["by"]) for i, t in enumerate(model_of(spark, sf_dir).trace)]
+    return frame(spark, rows, "step int, block int, dim int, pos int, n1 bigint, delta double, ch double, accepted boolean, reason string")
 
 
 @query(f"with p as ({POINTS}), g as (select {SUMS} from p group by {GROUP}) select n, ls0, ls1, ss0, ss1 from g")
@@ -424,12 +490,33 @@ def parts(spark, sf_dir):
     return [refine.Summary(r["n"], (int(r["ls0"]), int(r["ls1"])), (int(r["ss0"]), int(r["ss1"])), i) for i, r in enumerate(got)]
 
 
-@query()
+# one turn of the recursion merges the cheapest admissible pair of the summaries that are left
+SEQUENCE = f"""with recursive p as ({POINTS}), s as (select {GROUP} || l_linenumber as grp, {SUMS} from p group by 1),
+t as (select count(*) as k, sum(n) as big_n, sum({_dev()}) as within, (cast(sum(n)::hugeint * (sum(ss0) + sum(ss1)) - sum(ls0)::hugeint * sum(ls0) - sum(ls1)::hugeint * sum(ls1) as double) / sum(n)) - sum({_dev()}) as between_ from s),
+r as (
+  select 0 as step, row_number() over (order by grp) - 1 as id, n, ls0, ls1, ss0, ss1, k, big_n, within, between_, between_ * (big_n - k) / (within * (k - 1)) as highest, 0.0::double as ch, 0::bigint as i, 0::bigint as j, 0.0::double as cost from s, t
+  union all
+  select step, u.id, u.n, u.ls0, u.ls1, u.ss0, u.ss1, k, big_n, within, between_, greatest(highest, ch), ch, i, j, cost from (
+    with a as (select *, ls0 / cast(n as double) as c0, ls1 / cast(n as double) as c1, sqrt({_dev()} / n) as radius from r),
+    b as (select a.id as i, b.id as j, a.n * cast(b.n as double) / (a.n + b.n) * ((a.c0 - b.c0) * (a.c0 - b.c0) + (a.c1 - b.c1) * (a.c1 - b.c1)) as cost, a.radius + b.radius as reach,
+      a.n + b.n as n, a.ls0 + b.ls0 as ls0, a.ls1 + b.ls1 as ls1, a.ss0 + b.ss0 as ss0, a.ss1 + b.ss1 as ss1 from a join a b on a.id < b.id),
+    c as (select * from b where sqrt({_dev(0)} / n) <= 2 * reach and sqrt({_dev(1)} / n) <= 2 * reach order by cost, i, j limit 1),
+    d as (select any_value(step) as step, any_value(k) as k, any_value(big_n) as big_n, any_value(within) as within, any_value(between_) as between_, any_value(highest) as highest, max(id) as last from r),
+    e as (select d.*, c.i, c.j, c.cost, c.n, c.ls0, c.ls1, c.ss0, c.ss1, (between_ - cost) * (big_n - (k - 1)) / ((within + cost) * (k - 2)) as ch from c, d where k > 2)
+    select e.step + 1 as step, unnest([{{'id': l.id, 'n': l.n, 'ls0': l.ls0, 'ls1': l.ls1, 'ss0': l.ss0, 'ss1': l.ss1}}]) as u, e.k - 1 as k, e.big_n, e.within + cost as within, e.between_ - cost as between_, highest, ch, i, j, cost
+    from e, (select id, n, ls0, ls1, ss0, ss1, false as is_new from r union all select last + 1, n, ls0, ls1, ss0, ss1, true from e) l
+    where ch > 0.9 * highest and l.id <> e.i and l.id <> e.j)),
+f as (select step, any_value(i) as i, any_value(j) as j, max(id) as made, max_by(n, id) as n, any_value(cost) as cost, any_value(ch) as ch, count(*) as clusters from r group by step),
+top as (select min(step) as step from f where step > 0 and ch = (select max(ch) from f where step > 0) and ch > (select any_value(highest) from r where step = 0))
+select cast(f.step as int) as step, cast(i as int) as a, cast(j as int) as b, cast(made as int) as made, n, round(cost, 3) as cost, round(ch, 3) as ch, cast(clusters as int) as clusters, f.step <= coalesce(top.step, 0) as kept from f, top where f.step > 0"""
+
+
+@query(SEQUENCE)
 def merge_sequence(spark, sf_dir):
-    """All merges of the parts, cheapest first, and which are kept; the tests hold it against a search of all pairs at every step."""
+    """All merges of the parts, cheapest first, and which are kept."""
     _, steps = refine.merge(parts(spark, sf_dir))
-    rows = [(s["step"], s["left"], s["right"], s["made"].id, s["made"].n, s["cost"], s["index"], s["clusters"], s["kept"]) for s in steps]
-    return frame(spark, rows, "step int, left int, right int, made int, n bigint, cost double, ch double, clusters int, kept boolean")
+    rows = [(s["step"], s["left"], s["right"], s["made"].id, s["made"].n, round(s["cost"], 3), round(s["index"], 3), s["clusters"], s["kept"]) for s in steps]
+    return frame(spark, rows, "step int, a int, b int, made int, n bigint, cost double, ch double, clusters int, kept boolean")
 
 
 @query(f"with p as ({POINTS}), g as (select {SUMS} from p group by {GROUP}) select n, ls0, ls1, ss0, ss1 from g")
@@ -449,8 +536,9 @@ def outlier_blocks(spark, sf_dir):
     """The outlier rule over the boxes of the groups: the strewn one alone is sparse, in the middle as well."""
     rows = table(spark, sf_dir, "lineitem").selectExpr("*", f"{X0} as x0", f"{X1} as x1").where(f"not ({IS_RF}) or l_orderkey % 200 = 0")
     rows = rows.selectExpr(f"{GROUP} as grp", f"case when {IS_RF} then cast(350 + l_orderkey * 37 % 390 as int) else x0 end as x0", f"case when {IS_RF} then cast(5 + l_partkey * 13 % 130 as int) else x1 end as x1")
-    bounds = stats.domain(rows, COLS, ["grp"]).join(stats.summaries(rows, COLS, ["grp"]), "grp").orderBy("grp").collect()
-    leaves = [refine.Block(i, refine.Summary(r["n"], (int(r["ls0"]), int(r["ls1"])), (int(r["ss0"]), int(r["ss1"]))), (r["inf0"], r["inf1"]), (r["sup0"], r["sup1"])) for i, r in enumerate(bounds)]
+    rows = rows.withColumn("block", F.expr(NUMBER.replace("l_returnflag", "substr(grp, 1, 1)").replace("l_linestatus", "substr(grp, 2, 1)")))
+    bounds = stats.domain(rows, COLS, ["block"]).join(stats.summaries(rows, COLS, ["block"]), "block").collect()
+    leaves = [block_of(r, r["block"]) for r in bounds]
     Clusterer(COLS).find_outliers(rows, leaves)
     out = [(b.summary.n, *b.summary.ls, *b.summary.ss, b.is_outlier) for b in leaves]
     return frame(spark, out, "n bigint, ls0 bigint, ls1 bigint, ss0 bigint, ss1 bigint, is_outlier boolean")

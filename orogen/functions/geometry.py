@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,101 @@ def with_nearest(df: DataFrame, label: str, distances: Sequence[tuple[int, Colum
     return rows.withColumn(label, F.when(F.col("_distance_low") <= 1, which).otherwise(F.lit(missing)).cast("int")).drop(*names, "_distance_low")
 
 
+def constants(values: Iterable, kind: str) -> Column:
+    """A constant array, as one literal in the plan whatever its length."""
+    text = ",".join(map(repr, values))
+    return (F.split(F.lit(text), ",") if text else F.array()).cast(f"array<{kind}>")
+
+
+@dataclass
+class Grid:
+    """Ellipses by the cells of a grid over two dimensions that their boxes touch: ``ids`` from ``starts[cell]`` on.
+
+    Cell 0 is the outside. The grid is as fine as ``entries`` allow.
+    """
+
+    dims: tuple[int, ...]
+    low: list[float]
+    step: list[float]
+    cells: list[int]
+    starts: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, low: np.ndarray, high: np.ndarray, entries: int = 1 << 18, side: int = 256) -> Grid:
+        """Of the boxes from ``low`` to ``high`` (ellipses by dimensions)."""
+        # the dimensions in which the boxes cover least of the whole, one another's beginnings apart
+        span = high.max(0) - low.min(0)
+        cover = np.where(span > 0, (high - low).mean(0) / np.where(span > 0, span, 1), 1.0)
+        dims = tuple(int(i) for i in np.argsort(cover, kind="stable")[:2])
+        base, span = low.min(0)[list(dims)], span[list(dims)]
+        while True:
+            step = np.where(span > 0, span / side, 1.0)
+            first = np.clip(np.floor((low[:, dims] - base) / step), 0, side - 1).astype(np.int64)
+            last = np.clip(np.floor((high[:, dims] - base) / step), 0, side - 1).astype(np.int64)
+            # a rounding error may put a border into the cell beside its own
+            first, last = np.maximum(first - 1, 0), np.minimum(last + 1, side - 1)
+            wide = last - first + 1
+            if side == 1 or int(wide.prod(1).sum()) <= entries:
+                break
+            side //= 2
+        which, at = np.arange(len(low)), np.zeros(len(low), np.int64)
+        for k in range(len(dims)):
+            each = wide[which, k]
+            inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            which, at = np.repeat(which, each), np.repeat(at, each) * side
+            at = at + first[which, k] + inner
+        order = np.lexsort((which, at))
+        starts = np.searchsorted(at[order], np.arange(side ** len(dims) + 1))
+        return cls(dims, base.tolist(), step.tolist(), [side] * len(dims), starts, which[order])
+
+    def cell(self, cols: Sequence[str]) -> Column:
+        """Number of a point's cell from 1, or null outside the grid."""
+        out, within = F.lit(0), F.lit(True)
+        for i, low, step, side in zip(self.dims, self.low, self.step, self.cells):
+            at = F.floor((F.col(cols[i]) - F.lit(low)) / F.lit(step))
+            # the highest border belongs to the last cell, and rounding may put a point there or just before the first
+            within = within & at.between(-1, side)
+            out = out * side + F.greatest(F.lit(0), F.least(at, F.lit(side - 1))).cast("int")
+        return F.when(within, out + 1)
+
+    def candidates(self, cols: Sequence[str]) -> tuple[Column, Column, Column]:
+        """A point's cell, and the lists by cell as ``with_candidates`` takes them."""
+        return self.cell(cols), constants(self.starts.tolist(), "int"), constants(self.ids.tolist(), "int")
+
+
+def with_candidates(
+    df: DataFrame, label: str, cols: Sequence[str], place: Column, starts: Column, ids: Column, centers: Sequence[Sequence[float]], rhos: Sequence[Sequence[float]], zero_radius: str = "exact", missing: int | None = None
+) -> DataFrame:
+    """``nearest_of`` the candidates that ``ids`` list from ``starts[place]`` to ``starts[place + 1]``, or ``missing``; a null place has none.
+
+    Each step is a column of its own, so that none is computed more than once.
+    """
+    rows = df.withColumn("_place", place)
+    rows = rows.withColumns({"_from": F.element_at(starts, F.col("_place")), "_to": F.element_at(starts, F.col("_place") + 1)})
+    rows = rows.withColumn("_listed", F.slice(ids, F.col("_from") + 1, F.col("_to") - F.col("_from")))
+    rows = rows.withColumn(label, nearest_of(cols, F.col("_listed"), centers, rhos, zero_radius))
+    return (rows if missing is None else rows.withColumn(label, F.coalesce(label, F.lit(missing)))).drop("_place", "_from", "_to", "_listed")
+
+
+def nearest_of(cols: Sequence[str], candidates: Column, centers: Sequence[Sequence[float]], rhos: Sequence[Sequence[float]], zero_radius: str = "exact") -> Column:
+    """The candidate (a number into the lists) of least elliptical distance of at most 1, the lowest on ties, or null."""
+    flat = [(constants([float(c[i]) for c in centers], "double"), constants([float(r[i]) for r in rhos], "double")) for i in range(len(cols))]
+
+    def distance(k: Column) -> Column:
+        parts, right = [], F.lit(True)
+        for c, (center, rho) in zip(cols, flat):
+            m, r = F.element_at(center, k + 1), F.element_at(rho, k + 1)
+            d = (m - F.col(c)) / F.when(r > 0, r)
+            parts.append(F.coalesce(d * d, F.lit(0.0)))
+            right = right & ((r > 0) | (F.col(c) == m))
+        value = total(parts)
+        return F.when(right, value).otherwise(F.lit(float("inf"))) if zero_radius == "exact" else value
+
+    near = F.filter(F.transform(candidates, lambda k: F.struct(distance(k).alias("d"), k.alias("k"))), lambda s: s["d"] <= 1)
+    return F.array_min(near)["k"]
+
+
 def inside(cols: Sequence[str], inf: Sequence[int], sup: Sequence[int]) -> Column:
     """Box membership, both ends included."""
     return reduce(lambda a, b: a & b, [F.col(c).between(int(a), int(b)) for c, a, b in zip(cols, inf, sup)])

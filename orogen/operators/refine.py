@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations, count
+from itertools import count
 from statistics import fmean, pstdev
 
+import numpy as np
+
 from orogen.functions import exact
 
 
@@ -80,17 +82,6 @@ def jump_index(values: Sequence[float]) -> int:
     return next((i for i, r in enumerate(ratios) if r > limit), len(ratios))
 
 
-def noise_threshold(values: Sequence[float], inf: int = 0, sup: int | None = None) -> float:
-    """The value before the first jump among the sorted values of the slice ``[inf .. sup]`` (all by default)."""
-    part = sorted(values)[inf : None if sup is None else sup + 1]
-    return part[jump_index(part)]
-
-
-def count_order(blocks: Sequence[Block]) -> list[Block]:
-    """Blocks by rising count, then id."""
-    return sorted(blocks, key=lambda b: (b.summary.n, b.id))
-
-
 def restricted_box(block: Block) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """The middle of a block: a tenth of its width to either side of the centroid, one at least."""
     inf, sup = [], []
@@ -111,16 +102,51 @@ def distance(center: Sequence[float], rho: Sequence[float], point: Sequence[floa
     return out
 
 
+def overlaps(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each interval the numbers of the others that meet it, by one sweep over the sorted ends."""
+    begin, end = np.argsort(other_low, kind="stable"), np.argsort(other_high, kind="stable")
+    starts, open_, i, j = other_low[begin], {}, 0, 0
+    for k in np.argsort(low, kind="stable").tolist():
+        while i < len(begin) and starts[i] <= low[k]:
+            open_[int(begin[i])] = True
+            i += 1
+        while j < len(end) and other_high[end[j]] < low[k]:
+            open_.pop(int(end[j]), None)
+            j += 1
+        # those that are open where it begins, and those that begin before it ends
+        later = begin[i : np.searchsorted(starts, high[k], "right")]
+        yield k, np.concatenate((np.fromiter(open_, np.int64, len(open_)), later[other_high[later] >= low[k]]))
+
+
+def ellipse_boxes(centers: np.ndarray, rhos: np.ndarray, zero_radius: str = "exact") -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest coordinates within each ellipse, a little more for rounding; unbounded where a radius of zero does not count."""
+    more = 1e-9 * (np.abs(centers) + rhos)
+    low, high = centers - rhos - more, centers + rhos + more
+    if zero_radius == "ignore":
+        low, high = np.where(rhos > 0, low, -float(1 << 31)), np.where(rhos > 0, high, float(1 << 31))
+    return low, high
+
+
 def reachability(blocks: Sequence[Block], multiplier: float = 3.0, zero_radius: str = "exact") -> dict[int, set[int]]:
-    """For each block, the clusters (blocks that are no outliers) whose ellipse reaches into its box."""
-    models = [(b.id, b.summary.centroid, [multiplier * r for r in b.summary.radii]) for b in blocks if not b.is_outlier]
-    out = {}
-    for b in blocks:
-        out[b.id] = set()
-        for i, c, rho in models:
-            border = [min(max(x, lo), hi) for x, lo, hi in zip(c, b.inf, b.sup)]
-            if i == b.id or distance(c, rho, border, zero_radius) <= 1:
-                out[b.id].add(i)
+    """For each block, the clusters (blocks that are no outliers) whose ellipse reaches into its box.
+
+    Only pairs whose boxes meet in one dimension, the one in which boxes cover least, come to the exact test.
+    """
+    models = [b for b in blocks if not b.is_outlier]
+    out = {b.id: set() if b.is_outlier else {b.id} for b in blocks}
+    if not models:
+        return out
+    centers, rhos = np.array([b.summary.centroid for b in models], np.float64), multiplier * np.array([b.summary.radii for b in models], np.float64)
+    inf, sup = np.array([b.inf for b in blocks], np.float64), np.array([b.sup for b in blocks], np.float64)
+    low, high = ellipse_boxes(centers, rhos, zero_radius)
+    span = np.maximum(high.max(0), sup.max(0)) - np.minimum(low.min(0), inf.min(0))
+    dim = int(np.argmin(((high - low).mean(0) + (sup - inf).mean(0) + 1) / (span + 1)))
+    for k, at in overlaps(inf[:, dim], sup[:, dim], low[:, dim], high[:, dim]):
+        apart, rho, d = centers[at] - np.clip(centers[at], inf[k], sup[k]), rhos[at], np.zeros(len(at))
+        for x, r in zip(apart.T, rho.T):
+            part = np.divide(x, r, out=np.zeros(len(x)), where=r > 0)
+            d += np.where((r > 0) | (x == 0) | (zero_radius == "ignore"), part * part, np.inf)
+        out[blocks[k].id].update(models[i].id for i in at[d <= 1].tolist())
     return out
 
 
@@ -131,7 +157,94 @@ def admissible(a: Summary, b: Summary) -> bool:
 
 
 def merge_cost(a: Summary, b: Summary) -> float:
-    return exact.gain(a.n, a.ls, b.n, b.ls)
+    """SSQ added by joining two sets."""
+    out = 0.0
+    for x, y in zip(a.centroid, b.centroid):
+        out += (x - y) * (x - y)
+    return float(a.n) * float(b.n) / (float(a.n) + float(b.n)) * out
+
+
+class Partners:
+    """For each living summary the cheapest admissible partner of larger id, filled when it is asked for: one entry each, not one for each pair."""
+
+    def __init__(self, summaries: Sequence[Summary]):
+        d, self.size = len(summaries[0].ls), 0
+        room = 2 * len(summaries)
+        self.n, self.radius, self.id = np.zeros(room), np.zeros(room), np.zeros(room, np.int64)
+        self.center, self.ssq = np.zeros((room, d)), np.zeros((room, d))
+        self.alive = np.zeros(room, bool)
+        self.row: dict[int, int] = {}
+        self.live: dict[int, Summary] = {}
+        self.heap: list[tuple[float, int, int]] = []
+        self.best: dict[int, tuple[float, int, int]] = {}
+        for s in sorted(summaries, key=lambda s: s.id):
+            self._add(s)
+        for i in list(self.live):
+            self._find(i)
+
+    def _add(self, s: Summary) -> None:
+        at = self.row[s.id] = self.size
+        self.size += 1
+        self.n[at], self.radius[at], self.id[at], self.center[at], self.ssq[at], self.alive[at] = s.n, s.radius, s.id, s.centroid, exact.ssq_by_dim(s.n, s.ls, s.ss), True
+        self.live[s.id] = s
+
+    def _costs(self, at: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of living partners between two rows that may be admissible, and their costs."""
+        rows = np.flatnonzero(self.alive[low:high]) + low
+        n = self.n[rows] + self.n[at]
+        factor, out, widest = self.n[rows] * self.n[at] / n, np.zeros(len(rows)), np.zeros(len(rows))
+        for i in range(self.center.shape[1]):
+            d = self.center[rows, i] - self.center[at, i]
+            out += d * d
+            widest = np.maximum(widest, (self.ssq[rows, i] + self.ssq[at, i] + factor * d * d) / n)
+        # what is near the limit is left to the exact test
+        keep = np.sqrt(widest) <= 2 * (self.radius[rows] + self.radius[at]) * (1 + 1e-6) + 1e-9
+        return rows[keep], (factor * out)[keep]
+
+    def _list(self, entry: tuple[float, int, int]) -> None:
+        self.best[entry[1]] = entry
+        heapq.heappush(self.heap, entry)
+        if len(self.heap) > 4 * len(self.live) + 64:
+            self.heap = [e for i, e in self.best.items() if i in self.live]
+            heapq.heapify(self.heap)
+
+    def _find(self, i: int) -> None:
+        at = self.row[i]
+        rows, costs = self._costs(at, at + 1, self.size)
+        for k in np.lexsort((rows, costs)).tolist():
+            j = int(self.id[rows[k]])
+            if admissible(self.live[i], self.live[j]):
+                self._list((float(costs[k]), i, j))
+                return
+        self.best.pop(i, None)
+
+    def cheapest(self) -> tuple[float, int, int] | None:
+        """The cheapest admissible pair of living summaries."""
+        while self.heap:
+            entry = self.heap[0]
+            _, i, j = entry
+            if i in self.live and j in self.live:
+                return entry
+            heapq.heappop(self.heap)
+            if i in self.live and self.best.get(i) == entry:
+                self._find(i)
+        return None
+
+    def join(self, i: int, j: int, id: int) -> Summary:
+        """Replace two summaries by their union."""
+        made = self.live[i].plus(self.live[j], id)
+        for x in (i, j):
+            self.alive[self.row[x]] = False
+            del self.live[x]
+            self.best.pop(x, None)
+        self._add(made)
+        at = self.row[id]
+        for k, cost in zip(*(x.tolist() for x in self._costs(at, 0, at))):
+            # a pair dearer than its list's entry is found when that entry goes
+            entry = (cost, int(self.id[k]), id)
+            if entry < self.best.get(entry[1], (math.inf,)) and admissible(self.live[entry[1]], made):
+                self._list(entry)
+        return made
 
 
 def merge(summaries: Sequence[Summary], multiplier: float = 0.9) -> tuple[list[Summary], list[dict]]:
@@ -139,8 +252,7 @@ def merge(summaries: Sequence[Summary], multiplier: float = 0.9) -> tuple[list[S
 
     Pairs are of living summaries only and each occurs once, so no point counts twice.
     """
-    live = {s.id: s for s in summaries}
-    k, n = len(live), sum(s.n for s in summaries)
+    k, n = len(summaries), sum(s.n for s in summaries)
     if k <= 2:
         return list(summaries), []
     whole = summaries[0]
@@ -149,24 +261,15 @@ def merge(summaries: Sequence[Summary], multiplier: float = 0.9) -> tuple[list[S
     within = sum(s.ssq for s in summaries)
     between = whole.ssq - within
     best = initial = exact.calinski_harabasz(between, within, n, k)
-    heap = [(merge_cost(a, b), a.id, b.id) for a, b in combinations(summaries, 2) if admissible(a, b)]
-    heapq.heapify(heap)
-    ids, steps, highest = count(max(live) + 1), [], initial
-    while heap and k > 2:
-        cost, i, j = heap[0]
-        if i not in live or j not in live:
-            heapq.heappop(heap)
-            continue
+    pairs = Partners(summaries)
+    ids, steps, highest = count(max(pairs.live) + 1), [], initial
+    while k > 2 and (top := pairs.cheapest()):
+        cost, i, j = top
         index = exact.calinski_harabasz(between - cost, within + cost, n, k - 1)
         if not index > highest * multiplier:
             break
-        heapq.heappop(heap)
-        made = live.pop(i).plus(live.pop(j), next(ids))
+        made = pairs.join(i, j, next(ids))
         between, within, k, highest = between - cost, within + cost, k - 1, max(highest, index)
-        for other in live.values():
-            if admissible(other, made):
-                heapq.heappush(heap, (merge_cost(other, made), other.id, made.id))
-        live[made.id] = made
         steps.append({"step": len(steps) + 1, "left": i, "right": j, "made": made, "cost": cost, "index": index, "clusters": k})
     keep = 0
     for s in steps:

@@ -39,8 +39,8 @@ def test_other_queries_run(spark, name):
 def test_trace_starts_with_the_best_split_and_accepts_five(spark):
     trace = catalog.QUERIES["divisive_trace"](spark, SF).orderBy("step").collect()
     best = catalog.QUERIES["best_split"](spark, SF).first()
-    assert (trace[0]["dim"], trace[0]["pos"], trace[0]["n1"], trace[0]["by"]) == (best["dim"], best["pos"], best["n1"], "valley")
-    assert sum(t["accepted"] for t in trace) == 5 and all(t["accepted"] == (t["by"] != "none") for t in trace)
+    assert (trace[0]["dim"], trace[0]["pos"], trace[0]["n1"], trace[0]["reason"]) == (best["dim"], best["pos"], best["n1"], "valley")
+    assert sum(t["accepted"] for t in trace) == 5 and all(t["accepted"] == (t["reason"] != "none") for t in trace)
 
 
 def test_a_broken_subpackage_leaves_the_other_queries(spark, monkeypatch):
