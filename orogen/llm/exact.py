@@ -4,15 +4,16 @@
    entry: 64-bit key, length, SHA-256, ``doc_id`` and the normalised text.
 2. The directory is built by doubling. It starts with one bucket; a bucket of more than
    ``capacity`` keys is split by the next bit of the key, again and again, to all 64 bits if need be.
-   One step of the loop looks at ``STEP`` bits: it counts the keys of each prefix, gives each the
-   shortest part of it that is not overfull, and goes on with the overfull ones alone. A bucket is a range of
-   keys, named by its first key.
-3. A key that one row holds needs no comparison. The rows of all others are dealt to their buckets. They are
-   first gathered in slices by the row's id, so that a text that fills a third of the
-   table comes to its bucket as ``SLICES`` partial sums at most (and leaves each task once).
+   One step of the loop looks at as many bits below an open prefix as its number of keys asks for (twice as many parts as
+   buckets of ``capacity`` would be): it counts the keys of each part, gives each the
+   shortest prefix of it that is not overfull, and goes on with the overfull parts alone. So a page of the directory has about
+   as many rows as buckets. A bucket is a range of keys, named by its first key.
+3. A key that one row holds needs no comparison. The rows of all others meet their keys, and are dealt to their buckets, in
+   ``SLICES`` slices by the row's id: a task that gets a slice of a text that fills a third of the table sums it up there, and
+   ``SLICES`` partial sums of it at most go on to its bucket.
 4. The owner of a bucket compares the bytes of all texts of a key: equal ones become one entry, different
    ones are chained under the key. The entries, with the group's size and the id that stays, are
-   written to the shared folder, and each row finds its own by bucket, key, length and hash. Two chained texts of one
+   written to the shared folder, and each row finds its own by slice, key, length and hash. Two chained texts of one
    length and SHA-256 would be an error, which the owner checks.
 
 Cases: null text counts as empty; a null ``doc_id`` is kept only when its text has no other
@@ -30,68 +31,81 @@ from pyspark.sql import functions as F
 
 from orogen.llm.shared import ascii_lower, discard, materialise
 
-STEP = 16
 SLICES = 16
 
 
 def entries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """Normalised text, key, length and hash of every row, in the shared folder."""
+    """Normalised text, key, length, hash and slice (by id) of every row, in the shared folder."""
     norm = df.select(F.col(id_col).cast("bigint").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"))
-    rows = norm.select("doc_id", key_of(F.col("norm")).alias("key"), F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
+    rows = norm.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice"), key_of(F.col("norm")).alias("key"), F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm")
     return materialise(rows, "exact-entries")
 
 
-def top_bits(bits: int) -> Column:
-    return F.shiftrightunsigned("key", 64 - bits)
+def bits_for(n: Column, low: Column, capacity: int) -> Column:
+    """Bits to look at below a prefix of ``low`` bits and ``n`` keys."""
+    return F.least(64 - low, F.greatest(F.lit(1), F.ceil(F.log2(n / F.lit(capacity))).cast("int") + 1)).cast("int")
 
 
-def directory(keys: DataFrame, capacity: int) -> list[tuple[int, DataFrame]]:
-    """Pages of the directory: bits looked at, and ``prefix`` with its bucket's ``depth`` (null: see the next page).
+def directory(keys: DataFrame, capacity: int) -> list[DataFrame]:
+    """Pages of the directory: for the keys' first ``high`` bits (``part``) their bucket's ``depth``, or null and the ``next`` number of bits to look at.
 
-    The first page has at most 2 ** STEP rows; later ones exist only under its overfull prefixes.
+    The first page is for all keys, each later one for the overfull parts of the page before it.
     """
-    pages, open_ = [], keys
-    for low in range(0, 64, STEP):
-        high = low + STEP
-        counts = open_.groupBy(top_bits(high).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        levels = counts.select("prefix", "n", F.explode(F.sequence(F.lit(low + 1 if low else 0), F.lit(high))).alias("depth"))
-        levels = levels.withColumn("node", F.expr(f"shiftrightunsigned(prefix, {high} - depth)"))
+    n = keys.count()
+    open_ = keys.select("key", F.lit(0).alias("low"), bits_for(F.lit(float(max(n, 1))), F.lit(0), capacity).alias("high"))
+    pages = []
+    while True:
+        counts = open_.groupBy("low", "high", F.expr("shiftrightunsigned(key, 64 - high)").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        counts = materialise(counts, "exact-counts")
+        levels = counts.select("high", "part", "n", F.explode(F.sequence(F.when(F.col("low") == 0, 0).otherwise(F.col("low") + 1), F.col("high"))).alias("depth"))
+        levels = levels.withColumn("node", F.expr("if(depth = 0, 0, shiftrightunsigned(part, high - depth))"))
         held = levels.groupBy("depth", "node").agg(F.sum("n").alias("held"))
         fits = held.where((F.col("held") <= capacity) | (F.col("depth") == 64)).select("depth", "node")
-        found = levels.join(fits, ["depth", "node"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
-        page = materialise(counts.select("prefix").join(found, "prefix", "left"), "exact-directory")
-        pages.append((high, page))
-        full = page.where("depth is null")
-        if high == 64 or full.isEmpty():
-            break
-        open_ = open_.withColumn("prefix", top_bits(high)).join(full.select("prefix"), "prefix", "left_semi").drop("prefix")
-    return pages
+        found = levels.join(fits, ["depth", "node"]).groupBy("high", "part").agg(F.min("depth").alias("depth"))
+        page = counts.join(found, ["high", "part"], "left").withColumn("next", F.when(F.col("depth").isNull(), F.col("high") + bits_for(F.col("n"), F.col("high"), capacity)))
+        pages.append(materialise(page.select("high", "part", "depth", "next"), "exact-directory"))
+        discard(counts)
+        if pages[-1].where("depth is null").isEmpty():
+            return pages
+        full = pages[-1].where("depth is null").select("high", "part", "next")
+        open_ = open_.withColumn("part", F.expr("shiftrightunsigned(key, 64 - high)")).join(full, ["high", "part"]).select("key", F.col("high").alias("low"), F.col("next").alias("high"))
 
 
-def place(keys: DataFrame, pages: list[tuple[int, DataFrame]]) -> DataFrame:
+def place(keys: DataFrame, pages: list[DataFrame], capacity: int) -> DataFrame:
     """``keys`` with the ``bucket`` (its first key) and ``depth`` that the directory names."""
-    done, rest = [], keys
-    for high, page in pages:
-        page = F.broadcast(page) if high == STEP else page
-        seen = rest.withColumn("prefix", top_bits(high)).join(page, "prefix").drop("prefix")
-        bucket = F.when(F.col("depth") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth)"))
-        done.append(seen.where("depth is not null").withColumn("bucket", bucket))
-        rest = seen.where("depth is null").drop("depth")
+    first = pages[0].agg(F.max("high")).first()[0]
+    done, rest = [], keys.withColumn("high", F.lit(first).cast("int"))
+    for page in pages:
+        seen = rest.withColumn("part", F.expr("shiftrightunsigned(key, 64 - high)")).join(page, ["high", "part"])
+        bucket = F.expr("if(depth = 0, 0L, shiftleft(shiftrightunsigned(key, 64 - depth), 64 - depth))")
+        done.append(seen.where("depth is not null").withColumn("bucket", bucket).drop("high", "part", "next"))
+        rest = seen.where("depth is null").withColumn("high", F.col("next")).drop("part", "next", "depth")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def sliced(df: DataFrame) -> DataFrame:
+    """A copy of every row for each slice."""
+    return df.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+
+
+def deal(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of keys that several rows hold, with their bucket; the rows of one key are dealt by slice."""
+    return rows.join(sliced(keys.where("n > 1").select("key", "bucket")), ["key", "slice"])
+
+
 def build_index(rows: DataFrame, capacity: int = 512) -> tuple[DataFrame, DataFrame]:
     """The buckets' keys (``key, n, bucket, depth``), and the chained entries of the keys that several rows hold; both on shared files."""
     counts = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
     pages = directory(counts.select("key"), capacity)
-    keys = materialise(place(counts, pages), "exact-buckets")
-    discard(counts, *(page for _, page in pages))
-    dealt = rows.join(keys.where("n > 1").select("key", "bucket"), "key")
+    keys = materialise(place(counts, pages, capacity), "exact-buckets")
+    discard(counts, *pages)
+    dealt = deal(rows, keys)
     sums = [F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    part = dealt.groupBy("bucket", "key", "norm", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice")).agg(*sums)
+    # a slice's rows of a key are in one task already: no exchange before these sums
+    part = dealt.groupBy("bucket", "key", "slice", "norm").agg(*sums)
     # the bucket alone says which task owns it: gathering and chaining need no further exchange
     owned = part.repartition("bucket").groupBy("bucket", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     owned = owned.select("bucket", "key", F.octet_length("norm").alias("size"), F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
@@ -103,12 +117,11 @@ def build_index(rows: DataFrame, capacity: int = 512) -> tuple[DataFrame, DataFr
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 512, key_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256, bucket, chain`` of every row."""
+    """``doc_id, keep_id, group_size, kept, text_sha256, bucket, chain`` of every row; a text whose key no other row has is in no chain and has no bucket here."""
     rows = entries(df, id_col, text_col, key_of)
-    keys, index = build_index(rows, capacity)
-    rows = rows.select("doc_id", "key", "size", "sha").join(keys.select("key", "n", "bucket"), "key")
-    found = rows.join(index, ["bucket", "key", "size", "sha"], "left")
-    alone = F.col("n") == 1
+    _, index = build_index(rows, capacity)
+    found = rows.select("doc_id", "key", "slice", "size", "sha").join(sliced(index), ["key", "slice", "size", "sha"], "left")
+    alone = F.col("chain").isNull()
     found = found.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "group_size": F.when(alone, F.lit(1).cast("bigint")).otherwise(F.col("group_size"))})
     return found.select(
         "doc_id", "keep_id", "group_size",

@@ -97,6 +97,35 @@ def test_directory_goes_through_all_bits(spark):
     assert got == {i: (max(j for j in (i % 200, i % 200 + 200) if j < 300), 1 + (i % 200 < 100)) for i in range(300)}
 
 
+def test_pages_stay_near_the_number_of_buckets(spark):
+    keys = spark.range(40_000).select(F.xxhash64("id").alias("key"))
+    pages = exact.directory(keys, 3)
+    buckets = exact.place(keys, pages, 3).select("bucket").distinct().count()
+    assert all(p.count() <= 3 * buckets for p in pages) and sum(p.count() for p in pages[1:]) <= buckets
+    # keys that share their first 40 bits: the next pages look on below these alone
+    close = keys.union(spark.range(500).select((F.lit(77 << 24).cast("bigint") + F.col("id")).alias("key")))
+    pages = exact.directory(close, 3)
+    held = exact.place(close, pages, 3).groupBy("bucket").count().agg(F.max("count"), F.sum("count")).first()
+    assert (held[0] <= 3, held[1]) == (True, 40_500) and all(p.count() <= 3 * buckets for p in pages)
+
+
+def test_a_text_in_a_third_of_the_rows_is_dealt_in_slices(spark):
+    df = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same text everywhere', concat('text ', id div 2)) as text")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(held, ("-1", "false", "64")):
+        spark.conf.set(k, v)
+    try:
+        rows = exact.entries(df)
+        keys, _ = exact.build_index(rows)
+        tasks = [r["count"] for r in exact.deal(rows, keys).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) >= 3000 and max(tasks) < 0.2 * sum(tasks)
+        got = exact.exact_groups(df).where("group_size > 2").agg(F.min("keep_id"), F.max("keep_id"), F.count("*"), F.min("group_size")).first()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert tuple(got) == (8997, 8997, 3000, 3000)
+
+
 @pytest.mark.parametrize("capacity", [1, 512])
 def test_different_texts_of_one_key_are_chained(spark, capacity):
     # two keys for all texts: without a comparison of the bytes in the chain, groups would fall together
