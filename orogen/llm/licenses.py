@@ -6,6 +6,9 @@ the templates (inverse document frequencies are counted over all texts; a word o
 text holds) and is compared with that template by cosine. A stretch is passed over only where its words cannot
 reach the threshold. A file's own licence is the best match at or over ``threshold``; ties go to the first identifier in order;
 a notice inside a matched stretch of a template at least twice as long (a licence text that quotes it) does not count for that.
+An SPDX tag (``SPDX-License-Identifier:`` and an expression of identifiers with AND, OR, WITH and brackets) is a declaration, not a likeness:
+the first one in a text is its licence with similarity 1. Identifiers lose ``-only``, ``-or-later`` and ``+``; unknown ones stay as they are written.
+
 A file is a licence file if its name says so or if the words of all matched stretches together are at least ``file_share`` of its
 words; the best licence file of a directory (highest cosine, then lowest path) gives that directory its licence.
 
@@ -40,6 +43,8 @@ NOTICES = (
     ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -47,6 +52,8 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "Eclipse Public License, version 2.0"),
     ("GPL-2.0", "GNU General Public License, version 2"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
@@ -64,12 +71,46 @@ NOTICES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
 TEMPLATES = NOTICES + TEXTS
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}.\-]*")
 
 
+TAG = regex.compile(r"SPDX-License-Identifier:[ \t]*(\S[^\r\n]*)", regex.IGNORECASE)
+TOKEN = regex.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.\-]*\+?)")
+NAMES = {name.lower(): name for name, _ in TEMPLATES}
+
+
+def spdx(text: str) -> tuple[str, int] | None:
+    """The first tag's expression, identifiers in their plain form, and the tag's words."""
+    for tag in TAG.finditer(text):
+        # tokens as far as they can stand in an expression; it ends where an operand did and no bracket is open
+        parts, whole, at, open_, operand = [], 0, 0, 0, True
+        while token := TOKEN.match(tag[1], at):
+            t = token[1]
+            if operand and t == "(":
+                open_ += 1
+            elif operand and t not in ("AND", "OR", "WITH", ")"):
+                plain = regex.sub(r"(-only|-or-later|\+)$", "", t)
+                t, operand = NAMES.get(plain.lower(), plain), False
+            elif not operand and t == ")" and open_:
+                open_ -= 1
+            elif not operand and t in ("AND", "OR", "WITH"):
+                operand = True
+            else:
+                break
+            parts.append(t)
+            at = token.end()
+            if not operand and not open_:
+                whole, end = len(parts), at
+        if whole:
+            return " ".join(parts[:whole]).replace("( ", "(").replace(" )", ")"), len(words_of(tag[0][: tag.start(1) - tag.start() + end]))
+    return None
+
+
 def words_of(text: str) -> list[str]:
     return [w.rstrip(".-") for w in WORD.findall(text.lower())]
 
@@ -166,10 +207,10 @@ class Matcher:
 
     def text(self, text: str | None, threshold: float) -> tuple[str | None, float, int, int]:
         """Licence, cosine, matched words and all words of a text."""
-        words = words_of(text or "")
+        words, tag = words_of(text or ""), spdx(text or "")
         reach = self.reachable(set(words), threshold)
         if not reach:
-            return None, 0.0, 0, len(words)
+            return (tag[0], 1.0, tag[1], len(words)) if tag else (None, 0.0, 0, len(words))
         lines, start = {(0, len(words))}, 0
         for line in (text or "").split("\n"):
             end = start + len(words_of(line))
@@ -188,6 +229,8 @@ class Matcher:
                     matches.append((-cos, self.vectors[at][0], a, b, self.lengths[at]))
         whole = [m for m in matches if not any(x[4] >= 2 * m[4] and x[2] <= m[2] and m[3] <= x[3] for x in matches)]
         best, name = min((m[:2] for m in whole), default=(0.0, None))
+        if tag:
+            return tag[0], 1.0, max(tag[1], sum(covered)), len(words)
         return name, -best, sum(covered), len(words)
 
 

@@ -8,7 +8,9 @@ is sampled and no n-gram is left out, so the tables grow with the input.
 
 1. Texts are encoded once; chunks of documents (about ``CHUNK`` bytes of text) go to the shared folder.
 2. Each chunk's distinct n-grams with their counts are dealt to buckets by the hash of their context. There are
-   as many buckets as chunks ask for, so that a bucket's size stays the same as the input grows.
+   as many buckets as chunks ask for, so that the mean size of a bucket stays the same as the input grows; what follows a very
+   frequent context is in one bucket, which grows. A chunk has a row for each bucket in which it has n-grams: rows grow faster than the
+   input until a row holds a single n-gram.
 3. A bucket's owner adds them up: its part of the table. It answers each chunk with the sums of what the chunk
    holds, so that no document needs the table; only sums of single ids (bounded by the vocabulary) are broadcast.
 4. Chunks meet their answers and score their documents: mean loss per token under the target minus
