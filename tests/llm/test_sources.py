@@ -71,6 +71,21 @@ def test_audit_equals_the_definition(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == audited(rows, least, top)
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark, tmp_path):
+    rows = [(i, "en", f"s{i % 2}", "often") for i in range(30)]
+    rows += [(100 + i % 29, "en", "s0", "Copies copies") for i in range(60)]  # 29 documents on 60 rows
+    rows += [(200 + i // 2, "en", f"s{i % 2}", f"halves {'left right'.split()[i % 2]}") for i in range(60)]  # 30 documents, each on rows of both sources
+    rows += [(200 + i, "de", "s0", "halves") for i in range(30)]
+    rows += [(None, "en", "s1", "nameless") for _ in range(40)] + [(300 + i, "en", "s1", "nameless") for i in range(28)]  # null ids are one document: 29
+    rows += [(None, "de", "s1", "ohne") for _ in range(3)] + [(400 + i, "de", "s1", "ohne") for i in range(29)]  # 30
+    spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {"en": {"often", "halves", "left", "right"}, "de": {"halves", "ohne"}}
+    # by rows all kept terms are in 30 documents at least; texts without the others give the result
+    want = [(lang, source, " ".join(t for t in text.lower().split() if t in kept[lang])) for _, lang, source, text in rows]
+    got = entries.op11_source_divergence(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == audited(want, 30, 50)
+
+
 def test_terms_of_long_texts_come_in_parts(monkeypatch):
     r = random.Random(9)
     text = "".join(r.choice(["a", "B", "é", " ", "\n", "7", "世"]) for _ in range(5000)).encode()
